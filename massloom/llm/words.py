@@ -20,6 +20,8 @@ _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint6
 _VALUE[65:91] = _VALUE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_NO_LETTER = np.ones(256, bool)
+_NO_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 2**64)
 _SHINGLE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,13 +73,16 @@ def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int
             a = min(b, n)
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, words before each row: rows + 1 values) of a column without nulls."""
+def word_hashes(column: pa.Array, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, words before each row: rows + 1 values) of a column without nulls.
+
+    letters: words are runs of ASCII letters and bytes beyond ASCII instead.
+    """
     data, ends = string_bytes(column)
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(column) + 1, np.int64)
-    word = ~_SPACE[data]
+    word = ~(_NO_LETTER if letters else _SPACE)[data]
     new_row = np.zeros(n + 1, bool)
     new_row[ends] = True
     start = word.copy()
