@@ -15,7 +15,7 @@ from massloom.llm.lm_score import score_documents
 from massloom.llm.near_dedup import near_duplicates
 from massloom.llm.packing import pack_documents
 from massloom.llm.token_counts import token_counts
-from massloom.llm.toxicity import fit_severity, label_grades, severity
+from massloom.llm.toxicity import OrdinalModel, fit_severity, severity
 from massloom.llm.url_filter import judge_urls
 
 
@@ -32,9 +32,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
 
 
+def severity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> OrdinalModel:
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade"))
+    return fit_severity(docs, labels, n_grades=4, split=True)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return severity(docs, fit_severity(docs, label_grades(table(spark, sf_dir, "labels")), 3))
+    return severity(docs, severity_model(spark, docs, sf_dir))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,9 +83,24 @@ def fit_cumulative(row: np.ndarray, feature: np.ndarray, grade: np.ndarray, n_fe
     return x[:n_features], np.cumsum(np.concatenate((x[n_features : n_features + 1], np.exp(x[n_features + 1 :]))))
 
 
-def fit_severity(docs: DataFrame, grades: DataFrame, n_grades: int) -> OrdinalModel:
+def split_by_evidence(row: np.ndarray, feature: np.ndarray, toxic: np.ndarray, n_features: int, n_grades: int) -> np.ndarray:
+    """Grades from labels that only tell toxic (1) from not (0).
+
+    Grade 0 is not toxic; toxic texts are split at the quantiles of how many distinct words
+    they hold that are commoner in toxic texts.
+    """
+    bad, all_ = np.bincount(feature, toxic[row], n_features), np.bincount(feature, minlength=n_features)
+    telling = bad * max(1, len(toxic)) > all_ * max(1, toxic.sum())
+    evidence = np.bincount(row, telling[feature], len(toxic))
+    cuts = np.quantile(evidence[toxic > 0], np.arange(1, n_grades - 1) / (n_grades - 1)) if toxic.any() else np.zeros(n_grades - 2)
+    return np.where(toxic > 0, 1 + (evidence[:, None] > cuts).sum(axis=1), 0)
+
+
+def fit_severity(docs: DataFrame, grades: DataFrame, n_grades: int, split: bool = False) -> OrdinalModel:
     """Fit docs (doc_id, text) with grades (doc_id, grade from 0 to n_grades - 1) on at most about FIT_ROWS of them.
 
+    With split, the grades are labels 0 and 1 and become n_grades by split_by_evidence.
+
     Rows with a null id, text or grade are left out; with no rows left, all texts get the
     lowest grade. Only word counts by grade (combined before the shuffle), FEATURES words and
     FIT_ROWS sparse rows reach the driver.
@@ -131,7 +146,10 @@ def fit_severity(docs: DataFrame, grades: DataFrame, n_grades: int) -> OrdinalMo
     row = np.repeat(np.arange(len(grade)), [len(f) for f in features]).astype(np.int64)
     feature = np.array([x for f in features for x in f], np.int64)
     order = np.lexsort((feature, row))
-    weights, thresholds = fit_cumulative(row[order], feature[order], grade, len(vocabulary), n_grades)
+    row, feature = row[order], feature[order]
+    if split:
+        grade = split_by_evidence(row, feature, grade, len(vocabulary), n_grades)
+    weights, thresholds = fit_cumulative(row, feature, grade, len(vocabulary), n_grades)
     return OrdinalModel(vocabulary, weights, thresholds)
 
 
@@ -152,9 +170,3 @@ def severity(docs: DataFrame, model: OrdinalModel, reject_at: float = 0.5) -> Da
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, severity double, grade int, toxic boolean")
-
-
-def label_grades(labels: DataFrame) -> DataFrame:
-    """Grades from labels (doc_id, quality, toxic): 0 not toxic, 1 toxic, 2 toxic and of low quality."""
-    toxic = F.col("toxic") == 1
-    return labels.select("doc_id", F.when(~toxic, 0).when(toxic & (F.col("quality") == 0), 2).when(toxic, 1).alias("grade"))
