@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,12 @@ class ChunkEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+@lru_cache(1)
+def encoder_of(vocabulary: str) -> ChunkEncoder:
+    """One encoder a worker process, so that its chunks serve all its tasks."""
+    return ChunkEncoder(vocabulary)
+
+
 def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, block_chars: int = 1 << 20) -> DataFrame:
     """Pieces of at most capacity ids of every document and its end_id: doc_id, piece, start, length, ids_crc32.
 
@@ -85,7 +92,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, b
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(vocabulary)
+        encoder = encoder_of(vocabulary)
         for batch in batches:
             at: list[int] = []
             rows: list[tuple[int, int, int, int]] = []
