@@ -6,6 +6,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +120,12 @@ class RankMerger:
         return dict(zip(words, np.diff(total[np.concatenate(([0], ends))]).tolist(), strict=True))
 
 
+@lru_cache(1)
+def merger_of(vocabulary: str) -> RankMerger:
+    """One merger a worker process, so that its counts serve all its tasks."""
+    return RankMerger(vocabulary)
+
+
 def _byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -137,7 +144,7 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int, block_chars: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        merger = RankMerger(vocabulary)
+        merger = merger_of(vocabulary)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             counts: list[int] = []
