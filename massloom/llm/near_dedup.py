@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massloom.llm.components import components
-from massloom.llm.staging import release, semi_by_key, stage
+from massloom.llm.staging import BROADCAST_KEYS, release, semi_by_key, stage
 from massloom.llm.words import blocks, mix, sequence_hash, shingle_hashes, word_hashes
 
 #: The forest: trees (sorted orders), minhashes in each tree's key, and the depth at which regions begin.
@@ -229,3 +229,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     linked = usable.select("doc_id", "n_shingles", "set_a", "set_b").join(members, ["set_a", "set_b"]).select("doc_id", "n_shingles", F.col("root").alias("component_id"))
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
+    """docs with one document of each group of near_duplicates, the one of the smallest id. All columns stay; rows without a doc_id stay."""
+    dropped, _ = stage(near_duplicates(docs, k, percent).where(~F.col("kept")).select(F.col("doc_id").alias("dropped_id")).distinct(), "near-dropped")
+    few = dropped.count() <= BROADCAST_KEYS
+    return docs.join(F.broadcast(dropped) if few else dropped, docs["doc_id"].cast("long") == dropped["dropped_id"], "left_anti")

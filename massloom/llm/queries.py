@@ -14,6 +14,7 @@ from massloom.llm.html_text import main_text
 from massloom.llm.lm_score import score_documents
 from massloom.llm.near_dedup import near_duplicates
 from massloom.llm.packing import pack_documents
+from massloom.llm.substring_dedup import repeated_passages
 from massloom.llm.token_counts import token_counts
 from massloom.llm.toxicity import OrdinalModel, fit_severity, severity
 from massloom.llm.url_filter import judge_urls
@@ -50,6 +51,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=5, percent=75)
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(table(spark, sf_dir, "pages"))
 
@@ -70,6 +75,6 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_best_fit_packing, op4_minhash_near_dedup, op6_html_extraction, op7_decontamination, op8_lm_scoring, op9_token_counts, op10_embedding_near_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_best_fit_packing, op4_minhash_near_dedup, op5_substring_dedup, op6_html_extraction, op7_decontamination, op8_lm_scoring, op9_token_counts, op10_embedding_near_dedup)}
 
 ORACLE_SQLS: dict[str, str] = {}

@@ -170,3 +170,16 @@ def severity(docs: DataFrame, model: OrdinalModel, reject_at: float = 0.5) -> Da
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, severity double, grade int, toxic boolean")
+
+
+def without_toxic(docs: DataFrame, model: OrdinalModel, reject_at: float = 0.5) -> DataFrame:
+    """docs (with a column text, and any others) without the rows that severity finds toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = shared.value.at_least(shared.value.scores(batch.column(at).fill_null("")))
+            yield batch.filter(pa.array(p[:, 0] < reject_at))
+
+    return docs.mapInArrow(run, docs.schema)
