@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from massloom.plans import matches, protein_queries, spectrum_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = matches.REGISTRY.queries | protein_queries.REGISTRY.queries | spectrum_queries.REGISTRY.queries
+ORACLE_SQL = matches.REGISTRY.sql | protein_queries.REGISTRY.sql | spectrum_queries.REGISTRY.sql
