@@ -81,13 +81,14 @@ def peptides_in_proteins(proteins: DataFrame, peptides: DataFrame, k: int = 6) -
 
     Peptides of fewer than k residues are joined by runs of their own length.
     """
-    out = None
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length("seq") - n + 1, F.lit(1)))
+        return F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring("seq", i, F.lit(n)))))
+
     long = peptides.where(F.length("peptide") >= k).withColumn("_k", F.substring("peptide", 1, k))
-    runs = proteins.select("protein_id", "seq", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("seq") - k + 1, F.lit(1))), lambda i: F.substring("seq", i, F.lit(k))))).alias("_k"))
-    out = runs.join(long, "_k").where(F.expr("instr(seq, peptide) > 0")).select("protein_id", "peptide")
-    short = peptides.where((F.length("peptide") < k) & (F.length("peptide") > 0))
+    out = proteins.select("protein_id", "seq", runs(k).alias("_k")).join(long, "_k").where(F.expr("instr(seq, peptide) > 0")).select("protein_id", "peptide")
     for n in range(1, k):
-        part = short.where(F.length("peptide") == n)
-        runs = proteins.select("protein_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("seq") - n + 1, F.lit(1))), lambda i, n=n: F.substring("seq", i, F.lit(n))))).alias("peptide"))
-        out = out.unionByName(runs.join(part, "peptide").select("protein_id", "peptide"))
+        part = peptides.where(F.length("peptide") == n)
+        out = out.unionByName(proteins.select("protein_id", runs(n).alias("peptide")).join(part, "peptide").select("protein_id", "peptide"))
     return out.distinct()
