@@ -16,21 +16,20 @@ BROADCAST_WINDOWS = 1_000_000
 UNITS = ("mm", "cm", "m", "km", "in", "inch", "inches", "ft", "feet", "foot", "mile", "miles", "mg", "g", "kg", "lb", "lbs", "oz", "ton", "tons", "ml", "l", "liter", "liters", "litre", "litres", "s", "sec", "second", "seconds", "min", "minute", "minutes", "h", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "usd", "eur", "dollar", "dollars", "euro", "euros", "cent", "cents", "percent", "mph", "kmh", "c", "f", "degree", "degrees")
 
 _NUMBER = r"[0-9]+(?:[.,][0-9]+)*"
-_NAME = r"([\p{Ll},;] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
+_NAME = r"([\p{Ll},;] )(\p{Lu}\p{Ll}+)" + r"(?: (\p{Lu}\p{Ll}+))?" * 3
 #: What separates words; the marks keep a slot's value in its word.
-_BETWEEN = r"[^\p{L}0-9.,\x01\x02]+|[.,]+(?![0-9])|(?<![0-9])[.,]+"
+_BETWEEN = r"[^\p{L}0-9.,\x01\x02\x03]+|[.,]+(?![0-9])|(?<![0-9])[.,]+"
 
 
 def slot_words(text: Column) -> Column:
     """Words in lower case with their slots marked: \\x01 before a number (or number and unit), \\x02 before a name.
 
     A number is a run of digits, possibly with points or commas inside; a name is a run of
-    capitalised words that begins no sentence. A name of several words is one word, joined
-    by commas between digits' marks.
+    up to four capitalised words that begins no sentence, and counts as one word.
     """
-    marked = F.regexp_replace(text, r"[\x01\x02]", " ")
+    marked = F.regexp_replace(text, r"[\x01\x02\x03]", " ")
     marked = F.when(marked.rlike("[0-9]"), F.regexp_replace(marked, _NUMBER, " \x01$0 ")).otherwise(marked)
-    marked = F.regexp_replace(marked, _NAME, "$1\x02$2")
+    marked = F.regexp_replace(marked, _NAME, "$1\x02$2\x03$3\x03$4\x03$5")
     return F.filter(F.split(F.lower(marked), _BETWEEN), lambda w: w != "")
 
 

@@ -16,101 +16,153 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from massloom.llm.staging import stage
+from massloom.llm.words import blocks, range_hashes, string_bytes
 
-#: Chunks whose ids a worker keeps; when full it starts anew. Affects speed only.
-CACHE_CHUNKS = 500_000
-#: A space goes with what follows it, as in the byte-level vocabularies' own pattern.
-_CHUNK = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
-_OTHER_SPACE = re.compile(r"[^\S \n]")
+#: Pre-tokens whose ids a worker keeps; when full it starts anew. Affects speed only.
+CACHE_PRETOKENS = 600_000
 
 
-class ChunkEncoder:
-    """Ids of whole texts by the tokenizers library, which sees each distinct chunk of text once."""
+class PretokenEncoder:
+    """Ids of whole texts by the tokenizers library, which sees each distinct pre-token only once in a while.
+
+    In plain texts (see plain_rows) numpy finds the pre-tokens of a whole block and their
+    64-bit hashes, and puts the ids together. Other texts go to the library as they are.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str] | None:
-        """Chunks that can be encoded one by one; None if white space or special strings forbid it.
-
-        With single spaces and line ends as the only white space, every space but the
-        first chunk's begins a chunk; it is left out and stands for itself.
-        """
-        if _OTHER_SPACE.search(text) or "\0" in text or any(s in text for s in self.special):
-            return None
-        if "  " not in text:
-            return text.split(" ")
-        first, *rest = _CHUNK.findall(text)
-        return [first, *(c[1:] if c[0] == " " else "\0" + c for c in rest)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        known = self.known.get
-        parts = []
-        new: dict[str, None] = {}
-        for text in texts:
-            chunks = self.chunks(text)
-            if chunks is None:
-                parts.append((chunks, [self.batch([text])[0]]))
-                continue
-            ids = [known("\0" + chunks[0]), *map(known, chunks[1:])]
-            chunks[0] = "\0" + chunks[0]
-            if None in ids:
-                new.update((c, None) for c, x in zip(chunks, ids, strict=True) if x is None)
-            parts.append((chunks, ids))
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        self.forget()
+
+    def forget(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a column without nulls, ids before each text: rows + 1)."""
+        data, ends = string_bytes(column)
+        easy = plain_rows(data, ends) & np.array([not self.special.search(t) for t in column.to_pylist()], bool)
+        counts = np.zeros(len(column), np.int64)
+        parts: dict[int, np.ndarray] = {}
+        for i in np.flatnonzero(~easy).tolist():
+            parts[i] = np.array(self.tokenizer.encode(column[i].as_py(), add_special_tokens=False).ids, np.uint32)
+            counts[i] = len(parts[i])
+        rows = np.flatnonzero(easy)
+        ids, own = self.plain(data, ends, rows)
+        counts[rows] = own
+        before = np.concatenate(([0], np.cumsum(counts)))
+        if not parts:
+            return ids, before
+        out = np.empty(before[-1], np.uint32)
+        out[np.repeat(easy, counts)] = ids
+        for i, x in parts.items():
+            out[before[i] : before[i + 1]] = x
+        return out, before
+
+    def plain(self, data: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the given rows one after another, their counts)."""
+        begin, end, row = pretokens(data, ends)
+        mine = np.zeros(len(ends) - 1, bool)
+        mine[rows] = True
+        keep = mine[row]
+        begin, end, row = begin[keep], end[keep], row[keep]
+        hashes = range_hashes(data, begin, end)
+        distinct, first, at = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.slots) > CACHE_PRETOKENS:
+            self.forget()
+        keys = distinct.tolist()
+        slot = list(map(self.slots.get, keys))
+        new = [i for i, s in enumerate(slot) if s is None]
         if new:
-            fresh = dict(zip(new, self.batch([c[1:] if c[:1] == "\0" else " " + c for c in new]), strict=True))
-            if len(self.known) + len(fresh) > CACHE_CHUNKS:
-                self.known.clear()
-            self.known.update(fresh)
-            for chunks, ids in parts:
-                if None in ids:
-                    ids[:] = [fresh[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
-        return [b"".join(ids) for _, ids in parts]
-
-    def batch(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            raw = data.tobytes()
+            texts = [raw[begin[first[i]] : end[first[i]]].decode() for i in new]
+            found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(size) - size))
+            self.size = np.concatenate((self.size, size))
+            self.pool = np.concatenate((self.pool, np.array([x for f in found for x in f], np.uint32)))
+            for i in new:
+                slot[i] = self.slots[keys[i]] = len(self.slots)
+        used = np.array(slot, np.int64)[at] if len(at) else np.zeros(0, np.int64)
+        size = self.size[used]
+        total = np.concatenate(([0], np.cumsum(size)))
+        ids = self.pool[np.repeat(self.start[used] - total[:-1], size) + np.arange(total[-1])]
+        return ids, np.bincount(row, size, len(ends) - 1).astype(np.int64)[rows]
+
+
+_LETTER, _DIGIT, _OTHER, _BLANK, _LINE, _ODD = range(6)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KIND[48:58] = _DIGIT
+_KIND[32], _KIND[10] = _BLANK, _LINE
+_KIND[[*range(0, 10), *range(11, 32), 39, 127, *range(128, 256)]] = _ODD  # control bytes, the apostrophe, and beyond ASCII
+
+
+def byte_kinds(data: np.ndarray) -> np.ndarray:
+    """Kind of each byte; letters from U+00C0 to U+00FF (0xC3 and a byte, but for two signs) are letters."""
+    kind = _KIND[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+    kind[lead] = _LETTER
+    kind[lead + 1] = _LETTER
+    return kind
+
+
+def plain_rows(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Rows without odd bytes and with single spaces and line ends as the only white space."""
+    kind = byte_kinds(data)
+    white = (kind == _BLANK) | (kind == _LINE)
+    bad = kind == _ODD
+    bad[1:] |= white[1:] & white[:-1]
+    total = np.concatenate(([0], np.cumsum(bad)))
+    return total[ends[1:]] == total[ends[:-1]]
+
+
+def pretokens(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, row) of the byte-level pre-tokens of plain rows: runs of one kind, each with a space before it."""
+    kind = byte_kinds(data)
+    if not len(kind):
+        return (np.zeros(0, np.int64),) * 3
+    begins = np.ones(len(kind), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) & ((kind[:-1] != _BLANK) | (kind[1:] == _LINE))
+    begins[ends[:-1][ends[:-1] < len(kind)]] = True
+    begin = np.flatnonzero(begins)
+    end = np.append(begin[1:], len(kind))
+    return begin, end, np.searchsorted(ends, begin, "right") - 1
 
 
 @lru_cache(1)
-def encoder_of(vocabulary: str) -> ChunkEncoder:
-    """One encoder a worker process, so that its chunks serve all its tasks."""
-    return ChunkEncoder(vocabulary)
+def encoder_of(vocabulary: str) -> PretokenEncoder:
+    """One encoder a worker process, so that its pre-tokens serve all its tasks."""
+    return PretokenEncoder(vocabulary)
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, block_chars: int = 1 << 20) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, block_bytes: int = 4 << 20) -> DataFrame:
     """Pieces of at most capacity ids of every document and its end_id: doc_id, piece, start, length, ids_crc32.
 
     Only documents of more than capacity ids are cut; their first piece takes what is left
     over, so that all others are full.
     """
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary)
         for batch in batches:
+            texts = batch.column(1)
             at: list[int] = []
             rows: list[tuple[int, int, int, int]] = []
-            held: list[str] = []
-            first = chars = 0
-            texts = batch.column(1).to_pylist()
-            for i, text in enumerate(texts):
-                held.append(text or "")
-                chars += len(held[-1])
-                if chars >= block_chars or i == len(texts) - 1:
-                    for k, ids in enumerate(encoder.encode(held), first):
-                        ids += end
-                        cut = len(ids) // 4 % capacity or capacity
-                        bounds = [0, *range(min(cut, len(ids) // 4), len(ids) // 4 + 1, capacity)]
-                        for piece, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
-                            at.append(k)
-                            rows.append((piece, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
-                    held, chars, first = [], 0, i + 1
+            for a, b in blocks(texts, block_bytes):
+                found, before = encoder.encode(texts.slice(a, b - a))
+                for k, (s, e) in enumerate(zip(before.tolist(), before[1:].tolist(), strict=False), a):
+                    ids = np.append(found[s:e], np.uint32(end_id)).astype("<u4").tobytes()
+                    total = e - s + 1
+                    bounds = [0, *range(total % capacity or capacity, total + 1, capacity)]
+                    for piece, (x, y) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                        at.append(k)
+                        rows.append((piece, x, y - x, zlib.crc32(ids[4 * x : 4 * y])))
             piece, start, length, crc = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
@@ -118,7 +170,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, b
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_rounds(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:

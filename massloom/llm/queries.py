@@ -20,7 +20,12 @@ from massloom.llm.toxicity import OrdinalModel, fit_severity, severity
 from massloom.llm.url_filter import judge_urls
 
 
+#: Rows of an Arrow batch: whole texts and pages are some kilobytes each, and a batch is held by the executor and its worker.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -110,7 +110,7 @@ def fit_severity(docs: DataFrame, grades: DataFrame, n_grades: int, split: bool
     total = known.count()
     if total > FIT_ROWS:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / total))
-    texts = docs.where("text is not null").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("text", "grade")
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(known), F.col("doc_id") == F.col("id")).select("text", "grade")
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

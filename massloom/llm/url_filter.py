@@ -19,7 +19,7 @@ MOST_SEGMENTS = 12
 DIVERGENCE = 0.05
 #: Pseudo-labels with which a template's purity is drawn to its host's, and a host's to all hosts'.
 SMOOTHING = 5.0
-#: Smoothed share of bad labels from which a template is rejected.
+#: Smoothed share of bad labels above which a template is rejected; one without labels never is.
 REJECT_AT = 0.5
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -136,8 +136,8 @@ def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, s
     overall = F.broadcast(counted.agg((F.coalesce(F.sum("bad"), F.lit(0)) / F.greatest(F.sum("marked"), F.lit(1))).alias("all_bad")))  # one row
     host_share = (F.col("host_bad") + SMOOTHING * F.col("all_bad")) / (F.col("host_marked") + SMOOTHING)
     bad = (F.col("bad") + SMOOTHING * host_share) / (F.col("marked") + SMOOTHING)
-    judged = by_template.join(by_host, "host").crossJoin(overall).select("host", "template", (1 - bad).alias("purity"))
+    judged = by_template.join(by_host, "host").crossJoin(overall).select("host", "template", "marked", (1 - bad).alias("purity"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("purity") <= 1 - REJECT_AT, "block").otherwise("allow")
+    own = F.when((F.col("marked") > 0) & (F.col("purity") < 1 - REJECT_AT), "block").otherwise("allow")
     out = rows.join(known.join(judged, ["host", "template"]), ["host", "path"])
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), "template", "purity")

@@ -17,6 +17,7 @@ BLOCK_BYTES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_EXACT = _VALUE.copy()
 _VALUE[65:91] = _VALUE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -96,6 +97,14 @@ def word_hashes(column: pa.Array, letters: bool = False) -> tuple[np.ndarray, np
     return mix(h), np.searchsorted(a, ends)
 
 
+def range_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each range of bytes, case and all."""
+    n = len(data)
+    running = np.zeros(n + 1, np.uint64)
+    np.cumsum(_EXACT[data] * _power("p", _P, n)[:n], out=running[1:])
+    return mix((running[end] - running[begin]) * _power("i", _P_INVERSE, n)[begin])
+
+
 def shingle_hashes(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each run of k words, runs before each row) in row order; rows with fewer words have none."""
     counts = np.maximum(np.diff(rows) - k + 1, 0)
