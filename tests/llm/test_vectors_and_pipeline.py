@@ -28,7 +28,7 @@ def brute(ids, vectors, threshold):
 
 def test_vectors_against_brute_force(spark):
     rng = np.random.default_rng(1)
-    vectors = [None, [], [0.0] * 8, [1.0, None, 0, 0, 0, 0, 0, 0], [float("nan")] * 8, [float("inf")] * 8, [3.0, 4.0], [6.0, 8.0], [1e-30] * 8]
+    vectors = [None, [], [0.0] * 8, [1.0, None, *[0.0] * 6], [float("nan")] * 8, [float("inf")] * 8, [3.0, 4.0], [6.0, 8.0], [1e-30] * 8]
     for _ in range(12):
         centre = rng.normal(size=8)
         for _ in range(int(rng.integers(1, 25))):
