@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from massloom.llm.components import components
@@ -18,8 +18,13 @@ from massloom.llm.words import blocks, mix, sequence_hash, shingle_hashes, word_
 TREES, DEPTH, BASE_DEPTH = 16, 8, 2
 HASHES = TREES * DEPTH
 #: A region of at most this many signatures is compared pair by pair; a larger one is taken deeper, and its
-#: signatures are compared with so many next in order at any depth.
+#: signatures are compared with so many next in order at any depth. That links most of a large region; what is
+#: left apart in it is compared pair by pair afterwards (see dense_links).
 REGION, NEIGHBOURS = 12, 3
+#: Signatures of a large region in one chunk; pairs of chunks are compared by separate tasks.
+CHUNK = 1024
+#: Documents and bytes of shingles in one block; the links between two blocks are confirmed together.
+BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
 #: Candidates need this similarity by 2-bit sketches of the 128 minhashes, over five standard errors below 0.75.
 SKETCH_SIMILARITY = 0.5
 
@@ -99,6 +104,13 @@ def sweep(tree: np.ndarray, keys: np.ndarray, sketch: np.ndarray, ids: np.ndarra
     return np.minimum(a, b), np.maximum(a, b), similarity[fit]
 
 
+def dense_rows(tree: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which sorted signatures are in regions of over REGION at BASE_DEPTH, or in the first or last one, which may go on elsewhere."""
+    same = (keys[1:, :BASE_DEPTH] == keys[:-1, :BASE_DEPTH]).all(axis=1) & (tree[1:] == tree[:-1])
+    region = np.concatenate(([0], np.cumsum(~same)))
+    return (np.bincount(region)[region] > REGION) | (region == 0) | (region == region[-1])
+
+
 def _signed(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,10 +146,12 @@ def _arrays(table: pa.Table) -> tuple[np.ndarray, ...]:
 
 
 _SWEPT = "a long, b long, similarity double, boundary int, tree int, key binary, id long, sketch binary"
+#: The boundary of rows that are in a region too large for the sweep (or maybe so, at the ends of a range).
+DENSE = -2
 
 
 def _sweep_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates within one range of the order, and the signatures at its two ends for the sweep across boundaries."""
+    """Candidates within one range of the order, the signatures at its two ends for the sweep across boundaries, and those of large regions."""
     held = [b for b in batches if len(b)]
     if not held:
         return
@@ -146,8 +160,11 @@ def _sweep_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     n, none = len(a), pa.nulls
     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(similarity), none(n, pa.int32()), none(n, pa.int32()), none(n, pa.binary()), none(n, pa.int64()), none(n, pa.binary())], names=["a", "b", "similarity", "boundary", "tree", "key", "id", "sketch"])
     at = TaskContext.get().partitionId()
-    for boundary, ends in ((at - 1, table.slice(0, REGION)), (at, table.slice(max(0, len(table) - REGION)))):
+    dense = table.filter(pa.array(dense_rows(*_arrays(table)[:2])))
+    for boundary, ends in ((at - 1, table.slice(0, REGION)), (at, table.slice(max(0, len(table) - REGION))), (DENSE, dense)):
         n = len(ends)
+        if not n:
+            continue
         ends = ends.combine_chunks().to_batches()[0]
         yield pa.RecordBatch.from_arrays([none(n, pa.int64()), none(n, pa.int64()), none(n, pa.float64()), pa.array(np.full(n, boundary, np.int32)), *(ends.column(c) for c in ("tree", "key", "id", "sketch"))], names=["a", "b", "similarity", "boundary", "tree", "key", "id", "sketch"])
 
@@ -181,6 +198,97 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(lambda batches: _similar(batches, percent), "a long, b long")
 
 
+def _compare_chunks(table: pa.Table) -> pa.Table:
+    """Candidates between two chunks of a region (or within one) whose ends are in different components so far."""
+    chunk, ids, root = (table.column(c).to_numpy() for c in ("chunk", "id", "root"))
+    sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
+    a, b = [ids[:0]], [ids[:0]]
+    for x in left:
+        y = right[(root[right] != root[x]) & (ids[right] > ids[x] if i == j else ids[right] != ids[x])]
+        y = y[sketch_similarity(sketch[x], sketch[y]) >= SKETCH_SIMILARITY]
+        a.append(np.minimum(ids[x], ids[y]))
+        b.append(np.maximum(ids[x], ids[y]))
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of a sorted partition (id, shingles): so many documents or bytes each."""
+    block, docs, size = TaskContext.get().partitionId() << 32, 0, 0
+    for batch in batches:
+        found = []
+        for n in (len(x.as_buffer()) for x in batch.column(1)):
+            if docs and (docs == BLOCK_DOCS or size + n > BLOCK_BYTES):
+                block, docs, size = block + 1, 0, 0
+            docs, size = docs + 1, size + n
+            found.append(block)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["id", "shingles", "block"])
+
+
+def confirm_block(table: pa.Table, percent: int) -> pa.Table:
+    """The similar ones among the pairs (rows with a and b) of two blocks, whose documents' sets are the other rows."""
+    pairs = table.filter(table.column("a").is_valid())
+    sets = table.filter(table.column("id").is_valid())
+    found = [np.frombuffer(x.as_buffer(), np.uint64) for c in sets.column("shingles").chunks for x in c]
+    sizes = np.array([len(x) for x in found])
+    words, at = np.unique(np.concatenate(found), return_inverse=True)
+    at = np.split(at, np.cumsum(sizes)[:-1])
+    rows: dict[int, list[int]] = {}
+    for r, i in enumerate(sets.column("id").to_pylist()):
+        rows.setdefault(i, []).append(r)
+    a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], b[order]
+    keep = np.zeros(len(a), bool)
+    has = np.zeros(len(words), np.int32)
+    for part in np.split(np.arange(len(a)), np.flatnonzero(a[1:] != a[:-1]) + 1):
+        other, where = zip(*((r, k) for k in part for r in rows[int(b[k])]), strict=True)
+        other, where = np.array(other), np.array(where)
+        mine = np.concatenate([at[r] for r in other])
+        starts = np.cumsum(sizes[other]) - sizes[other]
+        for r in rows[int(a[part[0]])]:
+            has[at[r]] = 1
+            common = np.add.reduceat(has[mine], starts)
+            has[at[r]] = 0
+            keep[where[100 * common >= percent * (sizes[other] + sizes[r] - common)]] = True
+    return pa.table({"a": a[keep], "b": b[keep]})
+
+
+def dense_links(dense: DataFrame, roots: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components (roots: node, root) in the large regions of all trees: rows tree, key, id, sketch.
+
+    All pairs of a region in different components are compared by sketch, and those that may
+    be similar on full sets. A region is ordered by component and cut into chunks, so pairs of
+    chunks of one component cost nothing, and pairs of chunks are spread over the tasks.
+    """
+    spark = dense.sparkSession
+    region = ["tree", "region"]
+    placed, placed_path = stage(dense.join(roots, F.col("id") == F.col("node"), "left").select("tree", F.substring("key", 1, 4 * BASE_DEPTH).alias("region"), "id", "sketch", F.coalesce("root", "id").alias("root")), "near-dense")
+    apart = placed.groupBy(*region).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*region)
+    rank = F.row_number().over(Window.partitionBy(*region).orderBy("root", "id"))
+    live, live_path = stage(placed.join(apart, region, "left_semi").withColumn("chunk", F.floor((rank - 1) / CHUNK)), "near-live")
+    release(spark, placed_path)
+    chunks = live.groupBy(*region, "chunk").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    pairs = chunks.select(*region, F.col("chunk").alias("i"), "low").join(chunks.select(*region, F.col("chunk").alias("j"), "high"), region).where("i <= j and low <> high")
+    members = pairs.select(*region, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk")).join(live, [*region, "chunk"])
+    found, found_path = stage(members.groupBy(*region, "i", "j").applyInArrow(_compare_chunks, "a long, b long").distinct(), "near-apart")
+
+    ends, ends_path = stage(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ends")
+    home = live.groupBy("id").agg(F.min(F.xxhash64(*region)).alias("home"))
+    hashed, hashed_path = stage(semi_by_key(texts, ends, F.col("doc_id") == F.col("id")).mapInArrow(lambda batches: _hashed(batches, k), "id long, shingles binary"), "near-hashed")
+    ordered = hashed.join(home, "id").repartitionByRange("home", "id").sortWithinPartitions("home", "id").select("id", "shingles")
+    sets, sets_path = stage(ordered.mapInArrow(_cut_blocks, "id long, shingles binary, block long"), "near-blocks")
+    block = sets.groupBy("id").agg(F.min("block").alias("block"))
+    to = {c: block.select(F.col("id").alias(c), F.col("block").alias(f"block_{c}")) for c in ("a", "b")}
+    keyed, keyed_path = stage(found.join(to["a"], "a").join(to["b"], "b").select(F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y"), "a", "b"), "near-keyed")
+    needed = keyed.select("x", "y", F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "shingles"), "id")
+    both = keyed.unionByName(needed.select("x", "y", "id", "shingles"), allowMissingColumns=True)
+    links, _ = stage(both.groupBy("x", "y").applyInArrow(lambda table: confirm_block(table, percent), "a long, b long"), "near-third")
+    release(spark, live_path, found_path, ends_path, hashed_path, sets_path, keyed_path)
+    return links
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """Link documents (doc_id, text) whose sets of k-word shingles have a Jaccard similarity of percent / 100 or more.
 
@@ -207,9 +315,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     rows, rows_path = stage(nodes.select("id", "signature").mapInArrow(_forest_rows, "tree int, key binary, id long, sketch binary"), "near-forest")
     swept, swept_path = stage(rows.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id").mapInArrow(_sweep_partition, _SWEPT), "near-swept")
     release(spark, rows_path)
-    across = swept.where("boundary is not null").groupBy("boundary").applyInArrow(_sweep_boundary, "a long, b long, similarity double")
+    across = swept.where(f"boundary <> {DENSE}").groupBy("boundary").applyInArrow(_sweep_boundary, "a long, b long, similarity double")
     found = swept.where("a is not null").select("a", "b", "similarity").unionByName(across)
     pairs, pairs_path = stage(found.groupBy("a", "b").agg(F.max("similarity").alias("similarity")), "near-pairs")
+    dense, dense_path = stage(swept.where(f"boundary = {DENSE}").select("tree", "key", "id", "sketch"), "near-large")
     release(spark, swept_path)
 
     ends, ends_path = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "near-ends")
@@ -222,8 +331,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     apart = apart.join(best.select("a", "b"), ["a", "b"], "left_anti")
     second, second_path = stage(confirm(apart, sets, percent), "near-second")
     release(spark, sets_path, pairs_path, ends_path, *used)
-    roots, _ = components(first.unionByName(second), "near-all")
-    release(spark, first_path, second_path)
+    known = first.unionByName(second)
+    roots, used = components(known, "near-swept-all")
+    third = dense_links(dense, roots, texts, k, percent)
+    if not third.isEmpty():
+        release(spark, *used)
+        roots, _ = components(known.unionByName(third), "near-all")
+    release(spark, first_path, second_path, dense_path)
 
     members = nodes.select("set_a", "set_b", "id").join(roots, F.col("id") == F.col("node"), "left").select("set_a", "set_b", F.coalesce("root", "id").alias("root"))
     linked = usable.select("doc_id", "n_shingles", "set_a", "set_b").join(members, ["set_a", "set_b"]).select("doc_id", "n_shingles", F.col("root").alias("component_id"))

@@ -156,6 +156,39 @@ def test_near_duplicates_against_brute_force(spark):
     assert near_dedup.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_duplicates_in_large_regions(spark):
+    """A hub with many variants that are unlike each other, and a pair among many texts just below the threshold."""
+    rng = np.random.default_rng(12)
+
+    def variant(base, changes, places):
+        out = list(base)
+        for p in rng.choice(places, changes, replace=False):
+            out[p] = f"v{rng.integers(10**9)}"
+        return " ".join(out)
+
+    hub = [f"h{i}" for i in range(204)]
+    spread = np.arange(2, 200, 5)
+    texts = [" ".join(hub), *(variant(hub, 5, spread) for _ in range(250))]
+    form = [f"f{i}" for i in range(204)]
+    texts += [variant(form, 7, spread) for _ in range(250)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(200)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * (400 - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs(spark, texts)).collect()}
+    assert found == {i: find(i) for i in range(len(texts))}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 9), max_size=25), min_size=1, max_size=4), st.integers(1, 6))
 def test_compact_windows_cover_each_run_once(rows, least):
