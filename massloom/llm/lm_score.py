@@ -1,4 +1,4 @@
-"""Log-probabilities of texts by a bigram model whose quantised counts sit in one broadcast Bloom filter."""
+"""Log-probabilities of texts by a bigram model whose quantised counts sit in a Bloom filter."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from massloom.llm.staging import release, stage
 from massloom.llm.words import blocks, mix, word_hashes
 
-#: Bound of the filter's size. n-grams are taken from the most frequent down to the count floor at which they fit.
+#: Size up to which the filter is broadcast; a larger one stays in its slices, and n-grams are shuffled to them.
 FILTER_BYTES = 32 << 20
 BITS_PER_KEY, PROBES = 10, 4
 #: Counts are held as levels: 1 for a count of 1, then one more for every factor of LEVEL_BASE.
@@ -170,30 +170,73 @@ def count_ngrams(texts: DataFrame, slices: int) -> DataFrame:
     return parts.groupBy("kind", "slice").applyInArrow(merge, "kind int, slice int, keys binary, counts binary, levels binary, distinct long, total long, by_level array<long>")
 
 
-def build_filter(counted: DataFrame, slices: int) -> BloomCounts:
-    """One filter of at most FILTER_BYTES for the n-grams of counted, at the lowest count floor at which they fit."""
-    per_level = np.zeros(LEVELS + 1, np.int64)
-    for (n,) in counted.groupBy().agg(F.array(*(F.sum(F.get("by_level", F.lit(i))) for i in range(LEVELS + 1)))).collect():
-        per_level += np.array([x or 0 for x in n], np.int64)
-    floor = 1
-    while floor < LEVELS and (per_level[floor:] * np.arange(floor, LEVELS + 1)).sum() * BITS_PER_KEY > FILTER_BYTES * 8:
-        floor += 1
-    entries = int((per_level[floor:] * np.arange(floor, LEVELS + 1)).sum())
-    slice_bits = max(64, min(FILTER_BYTES * 8, entries * BITS_PER_KEY) // slices // 8 * 8)
+def build_filter(counted: DataFrame, slices: int) -> tuple[DataFrame, int]:
+    """The filter of all n-grams of counted: its slices (slice, bits), and the bits in each."""
+    entries = counted.agg(F.coalesce(F.sum(F.aggregate(F.transform("by_level", lambda n, level: n * level), F.lit(0).cast("long"), lambda x, y: x + y)), F.lit(0))).first()[0]
+    slice_bits = max(64, -(-entries * BITS_PER_KEY // slices) // 8 * 8)
 
     def build(table: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
         levels = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("levels").to_pylist()]).astype(np.int64)
-        kept = levels >= floor
-        return pa.table({"slice": table.column("slice").slice(0, 1), "bits": [filter_slice(keys[kept], levels[kept], slice_bits).tobytes()]})
+        return pa.table({"slice": table.column("slice").slice(0, 1), "bits": [filter_slice(keys, levels, slice_bits).tobytes()]})
 
+    return counted.select("slice", "keys", "levels").groupBy("slice").applyInArrow(build, "slice int, bits binary"), slice_bits
+
+
+def gather_filter(built: DataFrame, slices: int, slice_bits: int) -> BloomCounts:
     bits = np.zeros(slices * slice_bits // 8, np.uint8)
-    built = counted.select("slice", "keys", "levels").groupBy("slice").applyInArrow(build, "slice int, bits binary")
     for s, part in built.toLocalIterator():  # FILTER_BYTES in all
         bits[s * slice_bits // 8 : (s + 1) * slice_bits // 8] = np.frombuffer(part, np.uint8)
     return BloomCounts(bits, slices, slice_bits)
 
 
+def shuffled_levels(keys: DataFrame, built: DataFrame, slices: int, slice_bits: int) -> DataFrame:
+    """Levels of distinct keys (key), probed where their slice of the filter is: key, level."""
+
+    def probe(found: pa.Table, part: pa.Table) -> pa.Table:
+        k = found.column("key").to_numpy().view(np.uint64)
+        level = np.zeros(len(k), np.int64)
+        if len(part):
+            level = BloomCounts(np.frombuffer(part.column("bits")[0].as_py(), np.uint8), 1, slice_bits).levels(k)
+        return pa.table({"key": k.view(np.int64), "level": level})
+
+    at = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(slices).cast("long"), 32).cast("int")
+    return keys.withColumn("slice", at).groupBy("slice").cogroup(built.groupBy("slice")).applyInArrow(probe, "key long, level long")
+
+
+def shuffled_scores(scored: DataFrame, built: DataFrame, slices: int, slice_bits: int, all_words: int) -> DataFrame:
+    """score of each row of scored (row, before, after, pair, pair_times): the same as by the broadcast filter.
+
+    Each distinct pair gets its logarithm once, from the levels of itself and its two words;
+    the logarithms are then summed by row.
+    """
+    each = scored.select("row", F.explode(F.arrays_zip("before", "after", "pair", "pair_times")).alias("x")).select("row", "x.*")
+    pairs = each.groupBy("pair").agg(F.min(F.struct("before", "after")).alias("x")).select("pair", "x.before", "x.after")
+    keys = each.select(F.explode(F.array("pair", "before", "after")).alias("key")).distinct()
+    levels, _ = stage(shuffled_levels(keys, built, slices, slice_bits), "lm-levels")
+    to = {c: levels.select(F.col("key").alias(c), F.col("level").alias(f"level_{c}")) for c in ("pair", "before", "after")}
+
+    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair, before, after = (np.asarray(batch.column(c)) for c in ("level_pair", "level_before", "level_after"))
+            context, high = (np.where(x > 0, level_floor(x + 1) - 1, 0) for x in (before, after))
+            both = np.minimum(level_floor(pair), np.minimum(high, context))
+            found = np.log10((both + PRIOR * (level_floor(after) + 1) / all_words) / (context + PRIOR))
+            yield pa.RecordBatch.from_arrays([batch.column("pair"), pa.array(found)], ["pair", "value"])
+
+    joined = pairs.join(to["pair"], "pair").join(to["before"], "before").join(to["after"], "after")
+    values, _ = stage(joined.select("pair", "level_pair", "level_before", "level_after").mapInArrow(value, "pair long, value double"), "lm-values")
+    return each.join(values, "pair").groupBy("row").agg(F.sum(F.col("value") * F.col("pair_times")).alias("score"))
+
+
+def _per_row(row: np.ndarray, rows: int, keys: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """(a place of each distinct key of each row, list ends by row, times of each)."""
+    order = np.lexsort((keys, row))
+    t, r = keys[order], row[order]
+    new = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (r[1:] != r[:-1]))))
+    return order[new], pa.array(np.searchsorted(r[new], np.arange(rows + 1)).astype(np.int32)), pa.array(np.diff(np.append(new, len(t))))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
@@ -207,7 +250,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts. score is a bigram model: the filter gives the level of a pair and of its first
     word; P(w | v) = (low(v w) + PRIOR * P(w)) / (high(v) + PRIOR) with the smallest count of
     the pair's level, the largest of the word's, and P(w) = (low(w) + 1) / (N + V + 1), so that
-    quantising never makes the probabilities sum to over 1.
+    quantising never makes the probabilities sum to over 1. The filter holds all n-grams; one
+    of over FILTER_BYTES is not broadcast, but probed slice by slice, with the same scores.
 
     Null and empty texts are one end. Rows without a doc_id are training rows; repeated rows
     count each time. Other columns are ignored; an empty table gives an empty result.
@@ -220,7 +264,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     slices = max(16, -(-size // SLICE_BYTES))
     counted, counted_path = stage(count_ngrams(train, slices), "lm-counts")
     n_words, total = counted.where("kind = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    bloom = build_filter(counted, slices)
+    built, slice_bits = build_filter(counted, slices)
+    bloom = None
+    if slices * slice_bits <= FILTER_BYTES * 8:
+        bloom = gather_filter(built, slices, slice_bits)
+    else:
+        built, _ = stage(built, "lm-filter")
     exact = None
     if n_words <= BROADCAST_WORDS:
         keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
@@ -238,38 +287,48 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 tokens, starts = token_arrays(batch.column(1).slice(a, b - a))
                 before, pairs = bigrams(tokens, starts)
                 word, where = np.unique(tokens, return_inverse=True)
-                level = bloom.levels(word)
-                own = (level_floor(level) + 1) / (total + n_words + 1)
-                high = np.where(level > 0, level_floor(level + 1) - 1, 0)
-                pair, pair_at = np.unique(pairs, return_inverse=True)
-                # a pair is at most as frequent as its words: so much for false hits
-                both = np.minimum(level_floor(bloom.levels(pair))[pair_at], np.minimum(high[where], high[np.searchsorted(word, before) % len(word)]))
-                context = high[np.searchsorted(word, before) % len(word)]
-                seen = word[np.searchsorted(word, before) % len(word)] == before
-                if not seen.all():  # the end before a first text of the block is a token, too
-                    odd = np.flatnonzero(~seen)
-                    lone = bloom.levels(before[odd])
-                    context[odd] = np.where(lone > 0, level_floor(lone + 1) - 1, 0)
-                score = np.log10((both + PRIOR * own[where]) / (context + PRIOR))
-                columns = [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(starts)), pa.array(np.add.reduceat(score, starts[:-1]))]
+                row = np.repeat(np.arange(b - a), np.diff(starts))
+                columns = [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(starts))]
+                if bloom is not None:
+                    level = bloom.levels(word)
+                    own = (level_floor(level) + 1) / (total + n_words + 1)
+                    high = np.where(level > 0, level_floor(level + 1) - 1, 0)
+                    pair, pair_at = np.unique(pairs, return_inverse=True)
+                    # a pair is at most as frequent as its words: so much for false hits
+                    both = np.minimum(level_floor(bloom.levels(pair))[pair_at], np.minimum(high[where], high[np.searchsorted(word, before) % len(word)]))
+                    context = high[np.searchsorted(word, before) % len(word)]
+                    seen = word[np.searchsorted(word, before) % len(word)] == before
+                    if not seen.all():  # the end before a first text of the block is a token, too
+                        odd = np.flatnonzero(~seen)
+                        lone = bloom.levels(before[odd])
+                        context[odd] = np.where(lone > 0, level_floor(lone + 1) - 1, 0)
+                    score = np.log10((both + PRIOR * own[where]) / (context + PRIOR))
+                    columns.append(pa.array(np.add.reduceat(score, starts[:-1])))
+                else:
+                    at, ends, times = _per_row(row, b - a, pairs)
+                    columns += [pa.ListArray.from_arrays(ends, pa.array(x[at].view(np.int64))) for x in (before, tokens, pairs)] + [pa.ListArray.from_arrays(ends, times)]
                 if exact is not None:
                     at = np.minimum(np.searchsorted(exact[0], word), max(len(exact[0]) - 1, 0))
                     c = np.where(exact[0][at] == word, exact[1][at], 0).astype(np.int64) if len(exact[0]) else np.zeros(len(word), np.int64)
                     columns += [pa.array(np.add.reduceat((c[where] > 0).astype(np.int64), starts[:-1])), pa.array(np.add.reduceat(np.log10(c + 1.0)[where], starts[:-1]) - np.diff(starts) * log_all)]
                 else:
-                    row = np.repeat(np.arange(b - a), np.diff(starts))
-                    order = np.lexsort((tokens, row))
-                    t, r = tokens[order], row[order]
-                    new = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (r[1:] != r[:-1]))))
-                    ends = pa.array(np.searchsorted(r[new], np.arange(b - a + 1)).astype(np.int32))
-                    columns += [pa.ListArray.from_arrays(ends, pa.array(t[new].view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(np.diff(np.append(new, len(t)))))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "score", *(("n_known", "base_score") if exact is not None else ("words", "times"))])
-
-    head = f"doc_id {kind}, held_out boolean, n_tokens long, score double"
+                    at, ends, times = _per_row(row, b - a, tokens)
+                    columns += [pa.ListArray.from_arrays(ends, pa.array(tokens[at].view(np.int64))), pa.ListArray.from_arrays(ends, times)]
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
+
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, "
+    schema += "score double, " if bloom is not None else "before array<long>, after array<long>, pair array<long>, pair_times array<long>, "
+    schema += "n_known long, base_score double" if exact is not None else "words array<long>, times array<long>"
     wanted = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).alias("train_tokens"), "base_score", "score"]
-    if exact is not None:
-        out = rows.select("doc_id", "text", "held_out").mapInArrow(run, f"{head}, n_known long, base_score double")
+    scored = rows.select("doc_id", "text", "held_out").mapInArrow(run, schema)
+    if exact is not None and bloom is not None:
         release(spark, counted_path)
+        return scored.select(*wanted)
+    scored, _ = stage(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    out = scored
+    if bloom is None:
+        out = out.join(shuffled_scores(scored, built, slices, slice_bits, total + n_words + 1), "row")
+    if exact is not None:
         return out.select(*wanted)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,8 +336,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(n, np.int64))], ["word", "c"])
 
-    scored, _ = stage(rows.select("doc_id", "text", "held_out").mapInArrow(run, f"{head}, words array<long>, times array<long>").withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     counts = counted.where("kind = 1").select("keys", "counts").mapInArrow(expand, "word long, c long")
     each = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     base = each.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - float(log_all))).alias("base_score"))
-    return scored.join(base, "row").select(*wanted)
+    return out.join(base, "row").select(*wanted)

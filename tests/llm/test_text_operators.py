@@ -285,6 +285,20 @@ def test_lm_learns_order(spark):
     assert sum(r.score for r in unseen) > 0.6 * sum(r.base_score for r in unseen)
 
 
+@pytest.mark.parametrize("broadcast_words", [4_000_000, 0])
+def test_lm_score_does_not_depend_on_the_size_for_a_broadcast(spark, monkeypatch, broadcast_words):
+    rng = np.random.default_rng(10)
+    texts = [None, "", "Aa aa\tbb", *(make(rng, int(rng.integers(1, 100)), 300) for _ in range(60))]
+    whole = {r.doc_id: r for r in lm_score.score_documents(docs(spark, texts)).collect()}
+    monkeypatch.setattr(lm_score, "FILTER_BYTES", 64)
+    monkeypatch.setattr(lm_score, "BROADCAST_WORDS", broadcast_words)
+    rows = lm_score.score_documents(docs(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.score == pytest.approx(whole[r.doc_id].score, rel=1e-9)
+        assert (r.n_tokens, r.n_known) == (whole[r.doc_id].n_tokens, whole[r.doc_id].n_known)
+
+
 def test_bloom_levels():
     counts = np.array([1, 1, 2, 3, 10, 1000])
     keys = words.mix(np.arange(6, dtype=np.uint64))
