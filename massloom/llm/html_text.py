@@ -121,7 +121,8 @@ def page_wrapper(blocks: list[tuple[str, bool, str]]) -> list[list]:
         key = hashlib.blake2b(text.encode(), digest_size=8).hexdigest()
         if out and out[-1][0] == path:
             last = out[-1]
-            last[2], last[4], last[5], last[6] = True, min(last[4], key), max(last[5], key), last[6] + len(text)
+            key = hashlib.blake2b((last[4] + key).encode(), digest_size=8).hexdigest()  # a run's texts in order
+            last[2], last[4], last[5], last[6] = True, key, key, last[6] + len(text)
         else:
             out.append([path, False, False, 1, key, key, len(text), aside])
     return out
@@ -158,29 +159,43 @@ def _both(s: list, t: list) -> list:
     return [s[0], s[1] or t[1], s[2] or t[2], s[3] + t[3], min(s[4], t[4]), max(s[5], t[5]), s[6] + t[6], s[7] and t[7]]
 
 
-def main_paths(wrapper: list[list]) -> list[str]:
-    """Paths whose blocks are main text: below an article or main element if the host's wrapper has one with text.
-
-    Else those of the element whose own children have most text that varies between pages.
-    """
-    slots = [s for s in wrapper if not s[7]]
-    inside = [s for s in slots if main_path(s[0])]
-    if inside:
-        return sorted({s[0] for s in inside})
-    pages = max((s[3] for s in slots), default=0)
-    varied = [s for s in slots if s[4] != s[5] or pages < 3]
+def densest(parts: list[tuple[str, int]]) -> str:
+    """The deepest element that holds nearly all of the characters of parts (path, characters); the one around it, if it is one block of text."""
     mass: dict[str, int] = {}
-    for s in varied:
-        parts = s[0].split("/")
-        for k in range(2, len(parts) + 1):
-            mass["/".join(parts[:k])] = mass.get("/".join(parts[:k]), 0) + s[6]
+    own = {path for path, _ in parts}
+    for path, n in parts:
+        names = path.split("/")
+        for k in range(2, len(names) + 1):
+            mass["/".join(names[:k])] = mass.get("/".join(names[:k]), 0) + n
     if not mass:
-        return []
+        return ""
     most = max(mass.values())
     best = max((p for p, v in mass.items() if v >= 0.9 * most), key=lambda p: (p.count("/"), p))
-    if best.rpartition("/")[2].partition(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "td"):
-        best = best.rpartition("/")[0]
-    return sorted({s[0] for s in varied if s[0] == best or s[0].startswith(best + "/")})
+    above = best.rpartition("/")[0]
+    paragraph = best.rpartition("/")[2].partition(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "pre", "blockquote", "td")
+    if paragraph or (best in own and above.rpartition("/")[2].partition(".")[0] not in ("", "html", "body")):
+        best = above
+    return best
+
+
+def below(path: str, element: str) -> bool:
+    return path == element or path.startswith(element + "/")
+
+
+def main_paths(wrapper: list[list]) -> tuple[list[str], list[str]]:
+    """(paths of main text of the host's pages without an article or main element, paths of the template's own text).
+
+    Main are those of the element whose own children have most text that varies between
+    pages. Text is the template's own if it is equal on all of three or more pages that
+    have it, on a host whose pages are not all equal.
+    """
+    slots = [s for s in wrapper if not s[7] and not main_path(s[0])]
+    varied = [s for s in slots if s[4] != s[5] or s[3] < 3]
+    if all(s[4] == s[5] for s in wrapper):
+        varied = slots
+    best = densest([(s[0], s[6]) for s in varied])
+    paths = {s[0] for s in varied}
+    return sorted(p for p in paths if below(p, best)), sorted({s[0] for s in slots} - paths)
 
 
 def _page_wrappers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,13 +240,21 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 
 @lru_cache(4096)
-def _main(wrapper: str) -> frozenset[str]:
-    return frozenset(main_paths(json.loads(wrapper)))
+def _main(wrapper: str) -> tuple[frozenset[str], frozenset[str]]:
+    paths, template = main_paths(json.loads(wrapper))
+    return frozenset(paths), frozenset(template)
 
 
 def extract_text(source: str, wrapper: str) -> str:
-    paths = _main(wrapper)
-    return "\n".join(text for path, aside, text in page_blocks(source) if not aside and path in paths)
+    """Text in the page's own article or main element if it has one; else on the host's main paths; else in the page's own densest element."""
+    learned, template = _main(wrapper)
+    blocks = [(path, text) for path, aside, text in page_blocks(source) if not aside]
+    found = [text for path, text in blocks if main_path(path)] or [text for path, text in blocks if path in learned]
+    if not found and blocks:
+        parts = [x for x in blocks if x[0] not in template] or blocks
+        best = densest([(path, len(text)) for path, text in parts])
+        found = [text for path, text in parts if below(path, best)] or [text for _, text in parts]
+    return "\n".join(found)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,7 +267,8 @@ def main_text(pages: DataFrame) -> DataFrame:
     """Main text of every row of pages (page_id, url, html): page_id, url, text, n_chars (code points).
 
     Two passes over the pages: wrappers are inferred for each host from all its pages, then
-    each page's blocks on the wrapper's main paths are its text. A br, like the start or end
+    each page's text is chosen by its own elements and the wrapper (see extract_text), so a
+    page with a block that is not set aside is never without text. A br, like the start or end
     of any block element, ends a block. Null and empty html give an empty text; null urls and
     those without a host share one wrapper; repeated rows come out each. Other columns are
     ignored; an empty table gives an empty result.

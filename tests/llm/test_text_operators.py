@@ -345,6 +345,21 @@ def test_html(spark):
     assert html_text.main_text(pages.where("false")).count() == 0
 
 
+def test_html_of_hosts_with_several_templates(spark):
+    def long(word, i):
+        return " ".join(f"{word}{i}x{k}" for k in range(40))
+
+    sources = [("http://a.com/", f"<body><article><p>{long('art', i)}</p></article></body>", long("art", i)) for i in range(4)]
+    sources += [("http://a.com/", f"<body><div class=text><p>{long('own', i)}</p></div></body>", long("own", i)) for i in range(4)]
+    sources += [("http://b.com/", f"<body><div class=post><p>{long('post', i)}</p></div></body>", long("post", i)) for i in range(30)]
+    sources += [("http://b.com/", f"<body><div class=story><p>{long('story', i)}</p></div></body>", long("story", i)) for i in range(2)]
+    sources += [("http://c.com/", f"<body><div class=text><div class=para>{12 * long('para', i)}</div><div class=quote>{long('quote', i)}</div></div></body>", f"{12 * long('para', i)}\n{long('quote', i)}") for i in range(5)]
+    sources += [("http://d.com/", "<body><div><h1>Title</h1><p>Only paragraph</p></div></body>", "Title\nOnly paragraph")] * 4
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(sources)], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    assert found == {i: text for i, (_, _, text) in enumerate(sources)}
+
+
 def test_wrappers_align():
     a = html_text.page_wrapper(html_text.page_blocks(PAGE % 1))
     b = html_text.page_wrapper(html_text.page_blocks((PAGE % 2).replace("<aside>Side</aside>", "")))
