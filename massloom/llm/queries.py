@@ -20,12 +20,14 @@ from massloom.llm.toxicity import OrdinalModel, fit_severity, severity
 from massloom.llm.url_filter import judge_urls
 
 
-#: Rows of an Arrow batch: whole texts and pages are some kilobytes each, and a batch is held by the executor and its worker.
-BATCH_ROWS = 1000
+#: Bounds of an Arrow batch, which an executor and its worker both hold, where the session has none of its own: texts may be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4194304"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

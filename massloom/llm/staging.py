@@ -38,3 +38,15 @@ def release(spark: SparkSession, *paths: str) -> None:
 def semi_by_key(df: DataFrame, keys: DataFrame, on: Column, limit: int = BROADCAST_KEYS) -> DataFrame:
     """Left-semi join; keys (staged, one 8-byte column) are broadcast only if counted to be few."""
     return df.join(F.broadcast(keys) if keys.count() <= limit else keys, on, "left_semi")
+
+
+def fresh_names(taken: list[str], *names: str) -> list[str]:
+    """The names, each lengthened until no column of taken is called so (in any case)."""
+    low = {c.lower() for c in taken}
+    out = []
+    for name in names:
+        while name.lower() in low:
+            name += "_"
+        low.add(name.lower())
+        out.append(name)
+    return out
