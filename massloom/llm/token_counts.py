@@ -34,7 +34,7 @@ class RankMerger:
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
-        letters = _byte_letters()
+        letters = byte_letters()
         self.first = np.array([vocab[c] for c in letters], np.int64)
         self.last = np.array([vocab[c + suffix] for c in letters], np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -126,7 +126,7 @@ def merger_of(vocabulary: str) -> RankMerger:
     return RankMerger(vocabulary)
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in plain]

@@ -1,6 +1,7 @@
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -8,6 +9,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from massloom.llm import components, decontamination, html_text, lm_score, near_dedup, packing, substring_dedup, token_counts, toxicity, url_filter, words
@@ -39,6 +41,11 @@ def test_word_hashes_are_those_of_words(texts):
     assert all(len(v) == 1 for v in by.values()) and len(set(h.tolist())) == len(by)
 
 
+@lru_cache
+def library_of(path):
+    return Tokenizer.from_file(path)
+
+
 def test_token_counts(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     library = Tokenizer.from_file(path)
@@ -74,28 +81,67 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, []), path).count() == 0
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.integers(1, 20), max_size=80))
-def test_rounds_are_best_fit_decreasing(lengths):
-    capacity = 20
+def best_fit_decreasing(lengths, capacity):
     gaps = []
     for n in sorted(lengths, reverse=True):
         fit = [g for g in gaps if g >= n]
         if fit:
             gaps.remove(min(fit))
-            gaps.append(min(fit) - n)
+        gaps.append((min(fit) if fit else capacity) - n)
+    return gaps
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=60), st.lists(st.integers(1, 20), max_size=60))
+def test_a_sweep_is_best_fit_decreasing(lengths, gaps):
+    left, rest, placed = packing.best_fit([(n, 0, k) for n, k in Counter(lengths).items()], [(g, i, 1) for i, g in enumerate(gaps)], 20)
+    expected, free = [], list(gaps)
+    for n in sorted(lengths, reverse=True):
+        fit = [g for g in free if g >= n]
+        if fit:
+            free.remove(min(fit))
+            free.append(min(fit) - n)
         else:
-            gaps.append(capacity - n)
-    placed = packing.best_fit_rounds(dict(Counter(lengths)), capacity)
-    used = defaultdict(list)
-    for n, low, high, per, first, filled in placed:
-        for r in range(low, high):
-            used[first + (r - low) // per].append((filled + (r - low) % per * n, n))
-    assert Counter(n for x in used.values() for _, n in x) == Counter(lengths)
-    for x in used.values():
-        x.sort()
-        assert x[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(x, x[1:], strict=False)) and sum(x[-1]) <= capacity
-    assert len(used) == len(gaps)
+            expected.append(n)
+    assert sorted(n for n, _, k in left for _ in range(k)) == sorted(expected)
+    assert sorted(g for g, _, k in rest for _ in range(k)) == sorted(g for g in free if g)
+    ranks = Counter((n, r) for n, first, k, *_ in placed for r in range(first, first + k)) + Counter((n, r) for n, first, k in left for r in range(first, first + k))
+    assert ranks == Counter((n, r) for n, k in Counter(lengths).items() for r in range(k))
+
+
+def test_rounds_need_about_as_few_sequences_as_best_fit_decreasing(spark):
+    rng = np.random.default_rng(5)
+    for capacity, mean, spread in ((64, 0.3, 0.6), (100, 0.35, 0.1), (20, 0.5, 0.8)):
+        lengths = np.clip(rng.lognormal(np.log(capacity * mean), spread, 1500).astype(int), 1, capacity).tolist()
+        df = spark.createDataFrame([(i, n, "x") for i, n in enumerate(lengths)], "id long, length long, part string")
+        rows = packing.pack(df, capacity).collect()
+        assert sorted((r.id, r.length, r.part) for r in rows) == [(i, n, "x") for i, n in enumerate(lengths)]
+        used = defaultdict(list)
+        for r in rows:
+            used[r.sequence_id].append((r.offset, r.length))
+        for x in used.values():
+            x.sort()
+            assert x[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(x, x[1:], strict=False)) and sum(x[-1]) <= capacity
+        assert len(used) <= 1.02 * len(best_fit_decreasing(lengths, capacity))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("ab Z9'.,-\n\t  éÀß×÷日<|>"), st.characters(codec="utf-8")), max_size=40), max_size=8))
+def test_encoder_gives_the_ids_of_the_library(texts):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = packing.encoder_of(path)
+    ids, before = encoder.encode(pa.array(texts, pa.string()))
+    assert encoder.merger is not None
+    for i, t in enumerate(texts):
+        assert ids[before[i] : before[i + 1]].tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("ab Z9'.,-\n\t  éÀß×÷日<|>ΣİΑ"), st.characters(codec="utf-8")), max_size=40), max_size=8))
+def test_counts_are_those_of_the_library(texts):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = library_of(path)
+    assert token_counts.merger_of(path).count(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 def shingles(text):
@@ -226,6 +272,66 @@ def test_repeated_passages(spark):
     assert substring_dedup.cut_words("a b\nc d", [(1, 2)]) == "a d" and substring_dedup.cut_words(" a ", []) == " a "
 
 
+@pytest.mark.parametrize("parts", [1, 16])
+def test_passages_whose_parts_are_common(spark, parts):
+    """Pairs share two lines that many smaller documents hold one of."""
+    rng = np.random.default_rng(11)
+    texts, expected = [], {}
+    for _ in range(40):
+        one, two = make(rng, 30, 30000), make(rng, 30, 30000)
+        texts += [f"{make(rng, 20, 30000)} {line} {make(rng, 20, 30000)}" for line in (one, two) for _ in range(12)]
+        texts += [f"{make(rng, n, 30000)} {one} {two} {make(rng, 20, 30000)}" for n in (20, 15)]
+        expected[len(texts) - 1] = (15, 60, len(texts) - 2, 20)
+    rows = substring_dedup.repeated_passages(docs(spark, texts).repartition(parts)).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in rows} == expected and len(rows) == len(expected)
+
+
+def test_repeated_passages_against_brute_force(spark):
+    """Every stretch of 50 words that a smaller document holds is found, and only passages like one of it are."""
+    rng = np.random.default_rng(14)
+    lines = [make(rng, int(n), 500) for n in rng.integers(10, 90, 12)]
+    texts = []
+    for _ in range(150):
+        parts = [lines[int(rng.integers(0, 12))] if rng.random() < 0.6 else make(rng, int(rng.integers(5, 60)), 500) for _ in range(int(rng.integers(1, 7)))]
+        texts.append(" ".join(parts))
+    seen, repeats = {}, defaultdict(set)
+    for i, t in enumerate(texts):
+        w = t.split()
+        for a in range(len(w) - 49):
+            if seen.setdefault(tuple(w[a : a + 50]), i) < i:
+                repeats[i] |= set(range(a, a + 50))
+    rows = substring_dedup.repeated_passages(docs(spark, texts)).collect()
+    found = defaultdict(set)
+    for r in rows:
+        found[r.doc_id] |= set(range(r.first_word, r.first_word + r.n_words))
+        mine = texts[r.doc_id].split()[r.first_word : r.first_word + r.n_words]
+        theirs = texts[r.kept_doc_id].split()[max(0, r.kept_first_word - 10) : r.kept_first_word + r.n_words + 20]
+        mine, theirs = ({tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (mine, theirs))
+        assert r.kept_doc_id < r.doc_id and len(mine & theirs) >= 0.7 * len(mine)
+    assert sum(map(len, repeats.values())) > 5000 and all(repeats[i] <= found[i] for i in repeats)
+
+
+def test_similar_passages_with_words_put_in():
+    x = np.arange(56)
+    y = np.concatenate((np.arange(26), 1000 + np.arange(7), np.arange(30, 56)))  # three words put in
+    assert substring_dedup.repeated_runs(x, y, np.array([[0, 0, 10]]), 75) == [(0, 56, 0)]
+    y = np.concatenate((np.arange(10), 1000 + np.arange(30), np.arange(10, 56)))
+    assert substring_dedup.repeated_runs(x, y, np.array([[-30, 10, 10]]), 75) == [(10, 56, 40)]
+    assert substring_dedup.repeated_runs(x, x + 100, np.array([[0, 0, 10]]), 75) == []
+
+
+def test_passages_of_odd_rows(spark):
+    rng = np.random.default_rng(15)
+    passage = make(rng, 70)
+    rows = [(1, passage, "a"), (1, passage, "b"), (None, passage, "c"), (2, f"x {passage}", "d"), (3, "same " * 9000, "e"), (4, "same " * 5000 + passage, "f"), (5, None, "g"), (5, f"{passage} y", "h")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, spans string").withColumn("key_id", F.lit(1)).withColumn("cut_id", F.lit(2))
+    found = {(r.doc_id, r.first_word, r.n_words, r.kept_doc_id) for r in substring_dedup.repeated_passages(df).collect()}
+    assert {(2, 1, 70, 1), (5, 0, 70, 1)} <= found and {d for d, *_ in found} == {2, 4, 5}
+    left = substring_dedup.without_repeats(df)
+    assert left.columns == df.columns
+    assert sorted((r.spans, r.text) for r in left.collect() if r.spans in "abcdgh") == [("a", passage), ("b", passage), ("c", passage), ("d", "x"), ("g", None), ("h", "y")]
+
+
 def test_decontamination(spark):
     questions = ["Tom has 12 apples and gives 5 km of rope to Anna Lee before he walks 12 miles home again", "What is it?", None, "", "short one"]
     items = spark.createDataFrame(list(enumerate(questions)) + [(None, "a b c d e f")], "item_id long, text string")
