@@ -2,29 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massloom.llm.staging import release, stage
 from massloom.llm.words import blocks, mix, word_hashes
 
-#: Size up to which the filter is broadcast; a larger one stays in its slices, and n-grams are shuffled to them.
-FILTER_BYTES = 32 << 20
+#: Size that a broadcast filter can't exceed; where it might, the filter stays in its slices, and n-grams are shuffled to them.
+FILTER_BYTES = 64 << 20
 BITS_PER_KEY, PROBES = 10, 4
 #: Counts are held as levels: 1 for a count of 1, then one more for every factor of LEVEL_BASE.
 LEVEL_BASE, LEVELS = 1.5, 64
 #: Pseudo-count with which a word's probability after another is drawn to its own.
 PRIOR = 20.0
-#: Distinct words up to which the exact word counts are broadcast (12 bytes each); beyond, they are joined by shuffle.
-BROADCAST_WORDS = 4_000_000
-#: Bytes of text for which one slice of the counts is planned.
-SLICE_BYTES = 8 << 20
-#: n-grams that a counting task holds before it combines them.
-HELD = 500_000
+#: Bytes of text for which one slice of the counts is planned, and of a block of texts whose n-grams are sent together.
+SLICE_BYTES, BLOCK_TEXT = 8 << 20, 2 << 20
 
 END = np.uint64(0x5DEECE66D1234567)
 _NEXT = np.uint64(0xD6E8FEB86659FD93)
@@ -67,10 +66,15 @@ def bigrams(tokens: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class BloomCounts:
-    """Levels of n-grams: key and level are probed together, from level 1 up to the first miss."""
+    """Levels of n-grams: key and level are probed together, from level 1 up to the first miss.
 
-    def __init__(self, bits: np.ndarray, slices: int, slice_bits: int):
-        self.bits, self.slices, self.slice_bits = bits, slices, slice_bits
+    slices: filters of equal ranges of the key space, in order, each of its own size.
+    """
+
+    def __init__(self, slices: list[np.ndarray]):
+        size = np.array([len(s) for s in slices], np.int64)
+        self.bits = np.concatenate(slices)
+        self.start, self.size = (np.cumsum(size) - size) * 8, size * 8
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         found = np.zeros(len(keys), np.int64)
@@ -78,167 +82,231 @@ class BloomCounts:
         for level in range(1, LEVELS + 1):
             if not len(left):
                 break
+            at = slice_of(keys[left], len(self.size))
             hit = np.ones(len(left), bool)
-            start = slice_of(keys[left], self.slices) * self.slice_bits
-            for at in probes(keys[left], level, self.slice_bits):
-                at = at + start
-                hit &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            for place in probes(keys[left], level, self.size[at].astype(np.uint64)):
+                place = place + self.start[at]
+                hit &= (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
             left = left[hit]
             found[left] = level
         return found
 
 
-def probes(keys: np.ndarray, level: int, bits: int) -> Iterator[np.ndarray]:
+def probes(keys: np.ndarray, level: int, bits: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
     h = mix(keys ^ np.uint64(level * 0x9E3779B97F4A7C15 & (2**64 - 1)))
     step = (h >> np.uint64(33)) | np.uint64(1)
     for i in range(PROBES):
-        yield ((h + np.uint64(i) * step) % np.uint64(bits)).astype(np.int64)
+        yield ((h + np.uint64(i) * step) % bits).astype(np.int64)
 
 
-def filter_slice(keys: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
+def filter_slice(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The filter of n-grams with counts over 0: BITS_PER_KEY bits for each level of each."""
+    keys, levels = keys[counts > 0], level_of(counts[counts > 0])
+    bits = max(64, int(levels.sum()) * BITS_PER_KEY // 8 * 8)
     on = np.zeros(bits, bool)
     for level in range(1, int(levels.max(initial=0)) + 1):
-        for at in probes(keys[levels >= level], level, bits):
+        for at in probes(keys[levels >= level], level, np.uint64(bits)):
             on[at] = True
     return np.packbits(on, bitorder="little")
 
 
-def _combine(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, n = k[order], n[order]
-    new = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
-    return k[new], np.add.reduceat(n, new) if len(new) else n
+_GRAMS = "kind int, slice int, block long, keys binary, counts binary"
+_MERGED = "kind int, slice int, block long, levels binary, counts binary, bits binary, keys binary, distinct long, total long"
+WORDS, PAIRS = 1, 2
+
+
+def gram_rows(tokens: np.ndarray, rows: np.ndarray, held: np.ndarray, block: int, slices: int) -> Iterator[pa.RecordBatch]:
+    """The distinct words and pairs of a block of texts by slice, with how often texts that are not held out have them."""
+    learned = np.repeat(~held, np.diff(rows))
+    for kind, keys in ((WORDS, tokens), (PAIRS, bigrams(tokens, rows)[1])):
+        k, at = np.unique(keys, return_inverse=True)
+        n = np.bincount(at, learned, len(k)).astype(np.uint32)
+        place = slice_of(k, slices)
+        cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(k) else np.zeros(0, np.int64)
+        ends = np.append(cut[1:], len(k))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(cut), kind, np.int32)), pa.array(place[cut].astype(np.int32)), pa.array(np.full(len(cut), block)), pa.array([k[s:e].tobytes() for s, e in zip(cut, ends, strict=True)], pa.binary()), pa.array([_short(n[s:e]) for s, e in zip(cut, ends, strict=True)], pa.binary())],
+            [f.split()[0] for f in _GRAMS.split(", ")],
+        )
+
 
+def _short(n: np.ndarray) -> bytes:
+    return n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else n.tobytes()
 
-def count_ngrams(texts: DataFrame, slices: int) -> DataFrame:
-    """Counts of words (kind 1) and bigrams (kind 2) of all of texts (text, no nulls), in slices of the key space.
 
-    Rows: kind, slice, keys (sorted 64-bit values), counts (64-bit, of words only), levels (8-bit), all as bytes.
-    A task sends what it holds in parts of about HELD n-grams, so a part's counts fit 32 bits.
+def merge_grams(table: pa.Table, reply: bool) -> pa.Table:
+    """Count the n-grams of one slice over all blocks and build its filter.
+
+    Returns a row with the filter (bits) and, of words, their counts; with reply instead a row
+    for each block with the levels that the filter gives for its keys and, of words, the counts.
     """
+    keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+    size = np.array([len(k) for k in keys])
+    counts = [np.frombuffer(x, np.uint8 if len(x) == n else np.uint32) for x, n in zip(table.column("counts").to_pylist(), size, strict=True)]
+    distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64)  # exact up to 2**53
+    bits = filter_slice(distinct, total)
+    kind = table.column("kind")[0].as_py()
+    out = {"kind": [kind], "slice": [table.column("slice")[0].as_py()], "block": [None], "levels": [None], "counts": [None], "bits": [None], "keys": [None], "distinct": [int((total > 0).sum())], "total": [int(total.sum())]}
+    if not reply:
+        out["bits"] = [bits.tobytes()]
+        if kind == WORDS:
+            out["keys"], out["counts"] = [distinct[total > 0].tobytes()], [total[total > 0].tobytes()]
+    else:
+        levels = BloomCounts([bits]).levels(distinct).astype(np.uint8)
+        for block, part in zip(table.column("block").to_pylist(), np.split(at, np.cumsum(size)[:-1]), strict=True):
+            row = (kind, out["slice"][0], block, levels[part].tobytes(), total[part].tobytes() if kind == WORDS else None, None, None, 0, 0)
+            for c, v in zip(out.values(), row, strict=True):
+                c.append(v)
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
+    return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = {1: ([], []), 2: ([], [])}
-
-        def out(kind: int) -> Iterator[pa.RecordBatch]:
-            keys, counts = _combine(*held[kind])
-            held[kind] = ([], [])
-            at = slice_of(keys, slices)
-            cut = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
-            ends = np.append(cut[1:], len(at))
-            for a in range(0, len(cut), 8):
-                part = range(a, min(a + 8, len(cut)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), kind, np.int32)), pa.array(at[cut[a : a + 8]].astype(np.int32)), pa.array([keys[cut[i] : ends[i]].tobytes() for i in part], pa.binary()), pa.array([counts[cut[i] : ends[i]].astype(np.uint32).tobytes() for i in part], pa.binary())],
-                    ["kind", "slice", "keys", "counts"],
-                )
 
-        for batch in batches:
-            for a, b in blocks(batch.column(0)):
-                tokens, rows = token_arrays(batch.column(0).slice(a, b - a))
-                for kind, keys in ((1, tokens), (2, bigrams(tokens, rows)[1])):
-                    k, n = np.unique(keys, return_counts=True)
-                    held[kind][0].append(k)
-                    held[kind][1].append(n.astype(np.uint32))
-                    if sum(map(len, held[kind][0])) > HELD:
-                        held[kind] = tuple([x] for x in _combine(*held[kind]))
-                        if len(held[kind][0][0]) > HELD // 2:
-                            yield from out(kind)
-        for kind in (1, 2):
-            if held[kind][0]:
-                yield from out(kind)
-
-    def merge(table: pa.Table) -> pa.Table:
-        keys, counts = _combine([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()], [np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist()])
-        exact = table.column("kind")[0].as_py() == 1
-        levels = level_of(counts)
-        return pa.table(
-            {
-                "kind": pa.array([table.column("kind")[0].as_py()], pa.int32()),
-                "slice": pa.array([table.column("slice")[0].as_py()], pa.int32()),
-                "keys": [keys.tobytes()],
-                "counts": pa.array([counts.tobytes() if exact else None], pa.binary()),
-                "levels": [levels.astype(np.uint8).tobytes()],
-                "distinct": pa.array([len(keys)], pa.int64()),
-                "total": pa.array([int(counts.sum())], pa.int64()),
-                "by_level": [np.bincount(levels, minlength=LEVELS + 1).tolist()],
-            }
-        )
+@dataclass(frozen=True)
+class Tally:
+    """What all texts that are learned from hold: tokens and distinct words."""
 
-    parts = texts.mapInArrow(gather, "kind int, slice int, keys binary, counts binary")
-    return parts.groupBy("kind", "slice").applyInArrow(merge, "kind int, slice int, keys binary, counts binary, levels binary, distinct long, total long, by_level array<long>")
+    tokens: int
+    words: int
 
+    @property
+    def all_words(self) -> int:
+        return self.tokens + self.words + 1
 
-def build_filter(counted: DataFrame, slices: int) -> tuple[DataFrame, int]:
-    """The filter of all n-grams of counted: its slices (slice, bits), and the bits in each."""
-    entries = counted.agg(F.coalesce(F.sum(F.aggregate(F.transform("by_level", lambda n, level: n * level), F.lit(0).cast("long"), lambda x, y: x + y)), F.lit(0))).first()[0]
-    slice_bits = max(64, -(-entries * BITS_PER_KEY // slices) // 8 * 8)
 
-    def build(table: pa.Table) -> pa.Table:
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
-        levels = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("levels").to_pylist()]).astype(np.int64)
-        return pa.table({"slice": table.column("slice").slice(0, 1), "bits": [filter_slice(keys, levels, slice_bits).tobytes()]})
+def scores(tokens: np.ndarray, rows: np.ndarray, word_level: Callable[[np.ndarray], np.ndarray], pair_level: Callable[[np.ndarray], np.ndarray], tally: Tally) -> np.ndarray:
+    """score of each text: the sum of its tokens' log10 probabilities after the token before."""
+    before, pairs = bigrams(tokens, rows)
+    word, where = np.unique(np.append(tokens, END), return_inverse=True)  # a first token comes after an end
+    level = word_level(word)
+    own = (level_floor(level) + 1) / tally.all_words
+    high = np.where(level > 0, level_floor(level + 1) - 1, 0)
+    where, context = where[:-1], high[np.searchsorted(word, before)]
+    pair, pair_at = np.unique(pairs, return_inverse=True)
+    # a pair is at most as frequent as its words: so much for false hits
+    both = np.minimum(level_floor(pair_level(pair))[pair_at], np.minimum(high[where], context))
+    return np.add.reduceat(np.log10((both + PRIOR * own[where]) / (context + PRIOR)), rows[:-1])
 
-    return counted.select("slice", "keys", "levels").groupBy("slice").applyInArrow(build, "slice int, bits binary"), slice_bits
 
+def base_scores(tokens: np.ndarray, rows: np.ndarray, counts: Callable[[np.ndarray], np.ndarray], tally: Tally) -> tuple[np.ndarray, np.ndarray]:
+    """(n_known, base_score) of each text, by exact counts."""
+    word, where = np.unique(tokens, return_inverse=True)
+    c = counts(word)
+    return np.add.reduceat((c[where] > 0).astype(np.int64), rows[:-1]), np.add.reduceat(np.log10(c + 1.0)[where], rows[:-1]) - np.diff(rows) * np.log10(tally.all_words)
 
-def gather_filter(built: DataFrame, slices: int, slice_bits: int) -> BloomCounts:
-    bits = np.zeros(slices * slice_bits // 8, np.uint8)
-    for s, part in built.toLocalIterator():  # FILTER_BYTES in all
-        bits[s * slice_bits // 8 : (s + 1) * slice_bits // 8] = np.frombuffer(part, np.uint8)
-    return BloomCounts(bits, slices, slice_bits)
 
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
 
-def shuffled_levels(keys: DataFrame, built: DataFrame, slices: int, slice_bits: int) -> DataFrame:
-    """Levels of distinct keys (key), probed where their slice of the filter is: key, level."""
 
-    def probe(found: pa.Table, part: pa.Table) -> pa.Table:
-        k = found.column("key").to_numpy().view(np.uint64)
-        level = np.zeros(len(k), np.int64)
-        if len(part):
-            level = BloomCounts(np.frombuffer(part.column("bits")[0].as_py(), np.uint8), 1, slice_bits).levels(k)
-        return pa.table({"key": k.view(np.int64), "level": level})
+def _tally(merged: DataFrame) -> Tally:
+    words, tokens = merged.where((F.col("kind") == WORDS) & F.col("block").isNull()).agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    return Tally(int(tokens), int(words))
 
-    at = F.shiftright(F.shiftrightunsigned("key", 32) * F.lit(slices).cast("long"), 32).cast("int")
-    return keys.withColumn("slice", at).groupBy("slice").cogroup(built.groupBy("slice")).applyInArrow(probe, "key long, level long")
 
+_SCORES = "n_tokens long, n_known long, base_score double, score double"
 
-def shuffled_scores(scored: DataFrame, built: DataFrame, slices: int, slice_bits: int, all_words: int) -> DataFrame:
-    """score of each row of scored (row, before, after, pair, pair_times): the same as by the broadcast filter.
 
-    Each distinct pair gets its logarithm once, from the levels of itself and its two words;
-    the logarithms are then summed by row.
-    """
-    each = scored.select("row", F.explode(F.arrays_zip("before", "after", "pair", "pair_times")).alias("x")).select("row", "x.*")
-    pairs = each.groupBy("pair").agg(F.min(F.struct("before", "after")).alias("x")).select("pair", "x.before", "x.after")
-    keys = each.select(F.explode(F.array("pair", "before", "after")).alias("key")).distinct()
-    levels, _ = stage(shuffled_levels(keys, built, slices, slice_bits), "lm-levels")
-    to = {c: levels.select(F.col("key").alias(c), F.col("level").alias(f"level_{c}")) for c in ("pair", "before", "after")}
+def _scored(ids: pa.Array, held: pa.Array, tokens: np.ndarray, rows: np.ndarray, base: tuple[np.ndarray, np.ndarray], score: np.ndarray) -> list[pa.Array]:
+    return [ids, held, pa.array(np.diff(rows)), pa.array(base[0]), pa.array(base[1]), pa.array(score)]
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def broadcast_scores(rows: DataFrame, slices: int, kind: str) -> tuple[DataFrame, Tally]:
+    """Score by a filter and word counts that are small enough to be broadcast."""
+    spark = rows.sparkSession
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in blocks(batch.column(1), BLOCK_TEXT):
+                tokens, starts = token_arrays(batch.column(1).slice(a, b - a))
+                yield from gram_rows(tokens, starts, np.zeros(b - a, bool), 0, slices)
+
+    grams = rows.where(~F.col("held_out")).mapInArrow(gather, _GRAMS)
+    merged, path = stage(grams.groupBy("kind", "slice").applyInArrow(lambda table: merge_grams(table, False), _MERGED), "lm-merged")
+    tally = _tally(merged)
+    filters = {k: [np.zeros(8, np.uint8)] * slices for k in (WORDS, PAIRS)}
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for k, at, bits, words, n in merged.orderBy("kind", "slice").select("kind", "slice", "bits", "keys", "counts").toLocalIterator():  # at most FILTER_BYTES
+        filters[k][at] = np.frombuffer(bits, np.uint8)
+        if k == WORDS:
+            keys.append(np.frombuffer(words, np.uint64))
+            counts.append(np.frombuffer(n, np.int64))
+    release(spark, path)
+    known = spark.sparkContext.broadcast((*(BloomCounts(filters[k]) for k in (WORDS, PAIRS)), np.concatenate(keys), np.concatenate(counts)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, pairs, keys, counts = known.value
+
+        def exact(word: np.ndarray) -> np.ndarray:
+            if not len(keys):
+                return np.zeros(len(word), np.int64)
+            at = np.minimum(np.searchsorted(keys, word), len(keys) - 1)
+            return np.where(keys[at] == word, counts[at], 0)
 
-    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pair, before, after = (np.asarray(batch.column(c)) for c in ("level_pair", "level_before", "level_after"))
-            context, high = (np.where(x > 0, level_floor(x + 1) - 1, 0) for x in (before, after))
-            both = np.minimum(level_floor(pair), np.minimum(high, context))
-            found = np.log10((both + PRIOR * (level_floor(after) + 1) / all_words) / (context + PRIOR))
-            yield pa.RecordBatch.from_arrays([batch.column("pair"), pa.array(found)], ["pair", "value"])
+            for a, b in blocks(batch.column(1), BLOCK_TEXT):
+                tokens, starts = token_arrays(batch.column(1).slice(a, b - a))
+                found = _scored(batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), tokens, starts, base_scores(tokens, starts, exact, tally), scores(tokens, starts, words.levels, pairs.levels, tally))
+                yield pa.RecordBatch.from_arrays(found, ["doc_id", "held_out", *_names(_SCORES)])
 
-    joined = pairs.join(to["pair"], "pair").join(to["before"], "before").join(to["after"], "after")
-    values, _ = stage(joined.select("pair", "level_pair", "level_before", "level_after").mapInArrow(value, "pair long, value double"), "lm-values")
-    return each.join(values, "pair").groupBy("row").agg(F.sum(F.col("value") * F.col("pair_times")).alias("score"))
+    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, {_SCORES}"), tally
 
 
-def _per_row(row: np.ndarray, rows: int, keys: np.ndarray) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """(a place of each distinct key of each row, list ends by row, times of each)."""
-    order = np.lexsort((keys, row))
-    t, r = keys[order], row[order]
-    new = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (r[1:] != r[:-1]))))
-    return order[new], pa.array(np.searchsorted(r[new], np.arange(rows + 1)).astype(np.int32)), pa.array(np.diff(np.append(new, len(t))))
+def shuffled_scores(rows: DataFrame, slices: int, kind: str) -> tuple[DataFrame, Tally]:
+    """Score by a filter that stays in its slices: the same scores as by broadcast_scores.
 
+    Texts are held as blocks of word numbers. Each block sends its distinct n-grams with their
+    counts to the slices, once; a slice adds the counts up, builds its filter, probes it for
+    what each block has sent, and answers with a byte for each n-gram.
+    """
+    spark = rows.sparkSession
+    schema = f"block long, ids array<{kind}>, held array<boolean>, starts array<long>, words binary, tokens binary"
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for a, b in blocks(batch.column(1), BLOCK_TEXT):
+                tokens, starts = token_arrays(batch.column(1).slice(a, b - a))
+                words, at = np.unique(tokens, return_inverse=True)
+                one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(starts))]
+                yield pa.RecordBatch.from_arrays([pa.array([block]), *one, pa.array([words.tobytes()], pa.binary()), pa.array([at.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32).tobytes()], pa.binary())], ["block", "ids", "held", "starts", "words", "tokens"])
+                block += 1
+
+    def read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts, words = np.array(row["starts"], np.int64), np.frombuffer(row["words"], np.uint64)
+        return words[np.frombuffer(row["tokens"], np.uint16 if len(words) <= 1 << 16 else np.uint32)], starts, np.array(row["held"], bool)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                row = {c: batch.column(c)[i].as_py() for c in ("block", "held", "starts", "words", "tokens")}
+                yield from gram_rows(*read(row), row["block"], slices)
+
+    numbered, _ = stage(rows.mapInArrow(number, schema), "lm-tokens")
+    grams = numbered.select("block", "held", "starts", "words", "tokens").mapInArrow(gather, _GRAMS)
+    merged, _ = stage(grams.groupBy("kind", "slice").applyInArrow(lambda table: merge_grams(table, True), _MERGED), "lm-answers")
+    tally = _tally(merged)
+
+    def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("slice")
+        out = []
+        for i in range(len(texts)):
+            row = {c: texts.column(c)[i].as_py() for c in ("starts", "words", "tokens", "held")}
+            tokens, starts, _ = read(row)
+            of = {k: answers.filter(pa.compute.equal(answers.column("kind"), k)) for k in (WORDS, PAIRS)}  # slices are in the order of keys
+            words, pairs = (np.frombuffer(b"".join(of[k].column("levels").to_pylist()), np.uint8).astype(np.int64) for k in (WORDS, PAIRS))
+            counts = np.frombuffer(b"".join(of[WORDS].column("counts").to_pylist()), np.int64)
+            found = (base_scores(tokens, starts, lambda _, c=counts: c, tally), scores(tokens, starts, lambda _, w=words: w, lambda _, p=pairs: p, tally))
+            ids, held = (texts.column(c).combine_chunks().slice(i, 1).flatten() for c in ("ids", "held"))
+            out.append(pa.Table.from_arrays(_scored(ids, held, tokens, starts, *found), ["doc_id", "held_out", *_names(_SCORES)]))
+        return pa.concat_tables(out) if out else pa.table({n: [] for n in ["doc_id", "held_out", *_names(_SCORES)]})
+
+    answers = merged.where(F.col("block").isNotNull()).select("kind", "slice", "block", "levels", "counts")
+    return numbered.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, f"doc_id {kind}, held_out boolean, {_SCORES}"), tally
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -250,93 +318,18 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts. score is a bigram model: the filter gives the level of a pair and of its first
     word; P(w | v) = (low(v w) + PRIOR * P(w)) / (high(v) + PRIOR) with the smallest count of
     the pair's level, the largest of the word's, and P(w) = (low(w) + 1) / (N + V + 1), so that
-    quantising never makes the probabilities sum to over 1. The filter holds all n-grams; one
-    of over FILTER_BYTES is not broadcast, but probed slice by slice, with the same scores.
+    quantising never makes the probabilities sum to over 1. The filter holds all n-grams. It
+    is broadcast where the texts are so short that it can't exceed FILTER_BYTES (a token adds
+    at most a level of a word and one of a pair); else n-grams are sent to its slices.
 
     Null and empty texts are one end. Rows without a doc_id are training rows; repeated rows
     count each time. Other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    train = rows.where(~F.col("held_out")).select("text")
-    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     slices = max(16, -(-size // SLICE_BYTES))
-    counted, counted_path = stage(count_ngrams(train, slices), "lm-counts")
-    n_words, total = counted.where("kind = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    built, slice_bits = build_filter(counted, slices)
-    bloom = None
-    if slices * slice_bits <= FILTER_BYTES * 8:
-        bloom = gather_filter(built, slices, slice_bits)
-    else:
-        built, _ = stage(built, "lm-filter")
-    exact = None
-    if n_words <= BROADCAST_WORDS:
-        keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)]
-        for k, n in counted.where("kind = 1").select("slice", "keys", "counts").orderBy("slice").select("keys", "counts").toLocalIterator():
-            keys.append(np.frombuffer(k, np.uint64))
-            counts.append(np.frombuffer(n, np.int64).astype(np.uint32) if total < 2**32 else np.frombuffer(n, np.int64))
-        exact = np.concatenate(keys), np.concatenate(counts)  # slices and the keys in them are in order
-    known = spark.sparkContext.broadcast((bloom, exact))
-    log_all = np.log10(total + n_words + 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bloom, exact = known.value
-        for batch in batches:
-            for a, b in blocks(batch.column(1)):
-                tokens, starts = token_arrays(batch.column(1).slice(a, b - a))
-                before, pairs = bigrams(tokens, starts)
-                word, where = np.unique(tokens, return_inverse=True)
-                row = np.repeat(np.arange(b - a), np.diff(starts))
-                columns = [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(starts))]
-                if bloom is not None:
-                    level = bloom.levels(word)
-                    own = (level_floor(level) + 1) / (total + n_words + 1)
-                    high = np.where(level > 0, level_floor(level + 1) - 1, 0)
-                    pair, pair_at = np.unique(pairs, return_inverse=True)
-                    # a pair is at most as frequent as its words: so much for false hits
-                    both = np.minimum(level_floor(bloom.levels(pair))[pair_at], np.minimum(high[where], high[np.searchsorted(word, before) % len(word)]))
-                    context = high[np.searchsorted(word, before) % len(word)]
-                    seen = word[np.searchsorted(word, before) % len(word)] == before
-                    if not seen.all():  # the end before a first text of the block is a token, too
-                        odd = np.flatnonzero(~seen)
-                        lone = bloom.levels(before[odd])
-                        context[odd] = np.where(lone > 0, level_floor(lone + 1) - 1, 0)
-                    score = np.log10((both + PRIOR * own[where]) / (context + PRIOR))
-                    columns.append(pa.array(np.add.reduceat(score, starts[:-1])))
-                else:
-                    at, ends, times = _per_row(row, b - a, pairs)
-                    columns += [pa.ListArray.from_arrays(ends, pa.array(x[at].view(np.int64))) for x in (before, tokens, pairs)] + [pa.ListArray.from_arrays(ends, times)]
-                if exact is not None:
-                    at = np.minimum(np.searchsorted(exact[0], word), max(len(exact[0]) - 1, 0))
-                    c = np.where(exact[0][at] == word, exact[1][at], 0).astype(np.int64) if len(exact[0]) else np.zeros(len(word), np.int64)
-                    columns += [pa.array(np.add.reduceat((c[where] > 0).astype(np.int64), starts[:-1])), pa.array(np.add.reduceat(np.log10(c + 1.0)[where], starts[:-1]) - np.diff(starts) * log_all)]
-                else:
-                    at, ends, times = _per_row(row, b - a, tokens)
-                    columns += [pa.ListArray.from_arrays(ends, pa.array(tokens[at].view(np.int64))), pa.ListArray.from_arrays(ends, times)]
-                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in schema.split(", ")])
-
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, "
-    schema += "score double, " if bloom is not None else "before array<long>, after array<long>, pair array<long>, pair_times array<long>, "
-    schema += "n_known long, base_score double" if exact is not None else "words array<long>, times array<long>"
-    wanted = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).alias("train_tokens"), "base_score", "score"]
-    scored = rows.select("doc_id", "text", "held_out").mapInArrow(run, schema)
-    if exact is not None and bloom is not None:
-        release(spark, counted_path)
-        return scored.select(*wanted)
-    scored, _ = stage(scored.withColumn("row", F.monotonically_increasing_id()), "lm-scored")
-    out = scored
-    if bloom is None:
-        out = out.join(shuffled_scores(scored, built, slices, slice_bits, total + n_words + 1), "row")
-    if exact is not None:
-        return out.select(*wanted)
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(k, np.int64)), pa.array(np.frombuffer(n, np.int64))], ["word", "c"])
-
-    counts = counted.where("kind = 1").select("keys", "counts").mapInArrow(expand, "word long, c long")
-    each = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
-    base = each.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"), F.sum(F.col("times") * (F.log10(F.coalesce("c", F.lit(0)) + 1.0) - float(log_all))).alias("base_score"))
-    return out.join(base, "row").select(*wanted)
+    most_tokens = size // 2 + 2 * n
+    small = 2 * most_tokens * BITS_PER_KEY // 8 <= FILTER_BYTES
+    scored, tally = (broadcast_scores if small else shuffled_scores)(rows, slices, kind)
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tally.tokens).cast("long").alias("train_tokens"), "base_score", "score")

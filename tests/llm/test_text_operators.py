@@ -354,25 +354,46 @@ def test_decontamination(spark):
     assert not re.search("Python|Arrow|Pandas", text)
 
 
-def test_lm_base_score(spark):
+def test_lm_scores_are_those_of_exact_counts(spark, monkeypatch):
     rng = np.random.default_rng(8)
     texts = [None, "", "Aa aa\tbb", *(make(rng, int(rng.integers(1, 200)), 300) for _ in range(80))]
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))}
     tokens = [[*WORD.findall((t or "").translate(LOWER)), None] for t in texts]
+    tokens.append(["zz", None])  # a repeated id
+    held[len(texts)] = held[7]
     counts = Counter(w for i, t in enumerate(tokens) if not held[i] for w in t)
     n, v = sum(counts.values()), len(counts)
-    for few in (False, True):
-        limit = lm_score.BROADCAST_WORDS
-        lm_score.BROADCAST_WORDS = 3 if few else limit
-        try:
-            rows = {r.doc_id: r for r in lm_score.score_documents(docs(spark, texts)).collect()}
-        finally:
-            lm_score.BROADCAST_WORDS = limit
+    levels = {w: int(lm_score.level_of(np.array([c]))[0]) for w, c in counts.items()}
+    pairs = Counter(p for i, t in enumerate(tokens) if not held[i] for p in zip([None, *t[:-1]], t, strict=True))
+
+    def low(c):
+        return int(lm_score.level_floor(lm_score.level_of(np.array([c])))[0]) if c else 0
+
+    def score(t):
+        total = 0
+        for v, w in zip([None, *t[:-1]], t, strict=True):
+            high, own = (int(lm_score.level_floor(np.array([levels[x] + 1]))[0]) - 1 if x in levels else 0 for x in (v, w))
+            both = min(low(pairs[v, w]), high, own)
+            total += np.log10((both + lm_score.PRIOR * (low(counts[w]) + 1) / (n + v_ + 1)) / (high + lm_score.PRIOR))
+        return total
+
+    v_ = v
+    close = 0
+    tokens.pop()
+    for size in (64 << 20, 64):
+        monkeypatch.setattr(lm_score, "FILTER_BYTES", size)
+        found = lm_score.score_documents(docs(spark, texts).unionByName(docs(spark, ["zz"], 7)).repartition(3)).collect()
+        rows = {r.doc_id: r for r in found if r.doc_id != 7}
+        assert len(found) == len(texts) + 1
         for i, t in enumerate(tokens):
+            if i == 7:
+                continue
             r = rows[i]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(counts[w] > 0 for w in t), n)
             assert r.base_score == pytest.approx(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in t), rel=1e-9)
-            assert np.isfinite(r.score) and r.score < 0
+            assert r.score == pytest.approx(score(t), rel=0.02)  # but for false hits
+            close += r.score == pytest.approx(score(t), rel=0.005)
+    assert close > 1.8 * len(texts)
     assert lm_score.score_documents(docs(spark, [])).count() == 0
 
 
@@ -391,18 +412,17 @@ def test_lm_learns_order(spark):
     assert sum(r.score for r in unseen) > 0.6 * sum(r.base_score for r in unseen)
 
 
-@pytest.mark.parametrize("broadcast_words", [4_000_000, 0])
-def test_lm_score_does_not_depend_on_the_size_for_a_broadcast(spark, monkeypatch, broadcast_words):
+def test_lm_score_does_not_depend_on_the_size_for_a_broadcast(spark, monkeypatch):
     rng = np.random.default_rng(10)
     texts = [None, "", "Aa aa\tbb", *(make(rng, int(rng.integers(1, 100)), 300) for _ in range(60))]
-    whole = {r.doc_id: r for r in lm_score.score_documents(docs(spark, texts)).collect()}
+    df = docs(spark, texts).unionByName(spark.createDataFrame([(None, "b c", None, None, None, None)], DOCS))
+    whole = {r.doc_id: r for r in lm_score.score_documents(df).collect()}
     monkeypatch.setattr(lm_score, "FILTER_BYTES", 64)
-    monkeypatch.setattr(lm_score, "BROADCAST_WORDS", broadcast_words)
-    rows = lm_score.score_documents(docs(spark, texts)).collect()
-    assert len(rows) == len(texts)
+    rows = lm_score.score_documents(df.repartition(5)).collect()
+    assert len(rows) == len(texts) + 1
     for r in rows:
-        assert r.score == pytest.approx(whole[r.doc_id].score, rel=1e-9)
-        assert (r.n_tokens, r.n_known) == (whole[r.doc_id].n_tokens, whole[r.doc_id].n_known)
+        assert (r.score, r.base_score) == (pytest.approx(whole[r.doc_id].score, rel=1e-9), pytest.approx(whole[r.doc_id].base_score, rel=1e-9))
+        assert (r.n_tokens, r.n_known, r.held_out) == (whole[r.doc_id].n_tokens, whole[r.doc_id].n_known, whole[r.doc_id].held_out)
 
 
 def test_bloom_levels():
@@ -410,8 +430,7 @@ def test_bloom_levels():
     keys = words.mix(np.arange(6, dtype=np.uint64))
     levels = lm_score.level_of(counts)
     assert (lm_score.level_floor(levels) <= counts).all() and (counts < lm_score.level_floor(levels + 1)).all()
-    bits = lm_score.filter_slice(keys, levels, 4096)
-    bloom = lm_score.BloomCounts(bits, 1, 4096)
+    bloom = lm_score.BloomCounts([np.tile(lm_score.filter_slice(keys, counts), 1)])
     assert (bloom.levels(keys) >= levels).all()
     assert (bloom.levels(words.mix(np.arange(100, 400, dtype=np.uint64))) > 0).mean() < 0.05
 
