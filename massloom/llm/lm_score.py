@@ -23,7 +23,7 @@ LEVEL_BASE, LEVELS = 1.5, 64
 #: Pseudo-count with which a word's probability after another is drawn to its own.
 PRIOR = 20.0
 #: Bytes of text for which one slice of the counts is planned, and of a block of texts whose n-grams are sent together.
-SLICE_BYTES, BLOCK_TEXT = 8 << 20, 2 << 20
+SLICE_BYTES, BLOCK_TEXT = 8 << 20, 1 << 20
 
 END = np.uint64(0x5DEECE66D1234567)
 _NEXT = np.uint64(0xD6E8FEB86659FD93)
@@ -58,11 +58,11 @@ def token_arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bigrams(tokens: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(token before each token, key of the pair); a text's first token comes after an end."""
+    """(token before each token, 48-bit key of the pair, in the upper bits); a text's first token comes after an end."""
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
     before[rows[:-1]] = END
-    return before, mix(before * _NEXT + tokens)
+    return before, mix(before * _NEXT + tokens) & ~np.uint64(0xFFFF)
 
 
 class BloomCounts:
@@ -125,13 +125,30 @@ def gram_rows(tokens: np.ndarray, rows: np.ndarray, held: np.ndarray, block: int
         cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(k) else np.zeros(0, np.int64)
         ends = np.append(cut[1:], len(k))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(cut), kind, np.int32)), pa.array(place[cut].astype(np.int32)), pa.array(np.full(len(cut), block)), pa.array([k[s:e].tobytes() for s, e in zip(cut, ends, strict=True)], pa.binary()), pa.array([_short(n[s:e]) for s, e in zip(cut, ends, strict=True)], pa.binary())],
+            [pa.array(np.full(len(cut), kind, np.int32)), pa.array(place[cut].astype(np.int32)), pa.array(np.full(len(cut), block)), pa.array([_sent(k[s:e], kind) for s, e in zip(cut, ends, strict=True)], pa.binary()), pa.array([_short(n[s:e]) for s, e in zip(cut, ends, strict=True)], pa.binary())],
             [f.split()[0] for f in _GRAMS.split(", ")],
         )
 
 
+def _sent(keys: np.ndarray, kind: int) -> bytes:
+    return keys.astype("<u8").tobytes() if kind == WORDS else keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _received(packed: bytes, kind: int) -> np.ndarray:
+    if kind == WORDS:
+        return np.frombuffer(packed, "<u8").astype(np.uint64)
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 def _short(n: np.ndarray) -> bytes:
-    return n.astype(np.uint8).tobytes() if n.max(initial=0) < 256 else n.tobytes()
+    """n (not negative) in as few bytes as hold the largest."""
+    return n.astype(np.min_scalar_type(int(n.max(initial=0)))).tobytes()
+
+
+def _long(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, f"u{len(packed) // max(n, 1) or 1}").astype(np.int64)
 
 
 def merge_grams(table: pa.Table, reply: bool) -> pa.Table:
@@ -140,13 +157,13 @@ def merge_grams(table: pa.Table, reply: bool) -> pa.Table:
     Returns a row with the filter (bits) and, of words, their counts; with reply instead a row
     for each block with the levels that the filter gives for its keys and, of words, the counts.
     """
-    keys = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+    kind = table.column("kind")[0].as_py()
+    keys = [_received(x, kind) for x in table.column("keys").to_pylist()]
     size = np.array([len(k) for k in keys])
-    counts = [np.frombuffer(x, np.uint8 if len(x) == n else np.uint32) for x, n in zip(table.column("counts").to_pylist(), size, strict=True)]
+    counts = [_long(x, n) for x, n in zip(table.column("counts").to_pylist(), size, strict=True)]
     distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64)  # exact up to 2**53
     bits = filter_slice(distinct, total)
-    kind = table.column("kind")[0].as_py()
     out = {"kind": [kind], "slice": [table.column("slice")[0].as_py()], "block": [None], "levels": [None], "counts": [None], "bits": [None], "keys": [None], "distinct": [int((total > 0).sum())], "total": [int(total.sum())]}
     if not reply:
         out["bits"] = [bits.tobytes()]
@@ -155,7 +172,7 @@ def merge_grams(table: pa.Table, reply: bool) -> pa.Table:
     else:
         levels = BloomCounts([bits]).levels(distinct).astype(np.uint8)
         for block, part in zip(table.column("block").to_pylist(), np.split(at, np.cumsum(size)[:-1]), strict=True):
-            row = (kind, out["slice"][0], block, levels[part].tobytes(), total[part].tobytes() if kind == WORDS else None, None, None, 0, 0)
+            row = (kind, out["slice"][0], block, levels[part].tobytes(), _short(total[part]) if kind == WORDS else None, None, None, 0, 0)
             for c, v in zip(out.values(), row, strict=True):
                 c.append(v)
     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
@@ -299,7 +316,7 @@ def shuffled_scores(rows: DataFrame, slices: int, kind: str) -> tuple[DataFrame,
             tokens, starts, _ = read(row)
             of = {k: answers.filter(pa.compute.equal(answers.column("kind"), k)) for k in (WORDS, PAIRS)}  # slices are in the order of keys
             words, pairs = (np.frombuffer(b"".join(of[k].column("levels").to_pylist()), np.uint8).astype(np.int64) for k in (WORDS, PAIRS))
-            counts = np.frombuffer(b"".join(of[WORDS].column("counts").to_pylist()), np.int64)
+            counts = np.concatenate([_long(n, len(k)) for n, k in zip(of[WORDS].column("counts").to_pylist(), of[WORDS].column("levels").to_pylist(), strict=True)])
             found = (base_scores(tokens, starts, lambda _, c=counts: c, tally), scores(tokens, starts, lambda _, w=words: w, lambda _, p=pairs: p, tally))
             ids, held = (texts.column(c).combine_chunks().slice(i, 1).flatten() for c in ("ids", "held"))
             out.append(pa.Table.from_arrays(_scored(ids, held, tokens, starts, *found), ["doc_id", "held_out", *_names(_SCORES)]))

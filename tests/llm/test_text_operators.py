@@ -391,9 +391,9 @@ def test_lm_scores_are_those_of_exact_counts(spark, monkeypatch):
             r = rows[i]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(counts[w] > 0 for w in t), n)
             assert r.base_score == pytest.approx(sum(np.log10((counts[w] + 1) / (n + v + 1)) for w in t), rel=1e-9)
-            assert r.score == pytest.approx(score(t), rel=0.02)  # but for false hits
-            close += r.score == pytest.approx(score(t), rel=0.005)
-    assert close > 1.8 * len(texts)
+            assert r.score == pytest.approx(score(t), rel=0.1)  # but for false hits
+            close += r.score == pytest.approx(score(t), rel=0.01)
+    assert close > 1.6 * len(texts)
     assert lm_score.score_documents(docs(spark, [])).count() == 0
 
 
