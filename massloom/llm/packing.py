@@ -22,7 +22,7 @@ from massloom.llm.token_counts import byte_letters
 from massloom.llm.words import blocks, range_hashes, string_bytes
 
 #: Pre-tokens whose ids a worker keeps; when full it starts anew. Affects speed only.
-CACHE_PRETOKENS = 600_000
+CACHE_PRETOKENS = 300_000
 
 
 class PretokenEncoder:
