@@ -9,7 +9,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import lru_cache, reduce
+from functools import cached_property, lru_cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -21,8 +21,8 @@ from massloom.llm.staging import fresh_names, release, stage
 from massloom.llm.token_counts import byte_letters
 from massloom.llm.words import blocks, range_hashes, string_bytes
 
-#: Pre-tokens whose ids a worker keeps; when full it starts anew. Affects speed only.
-CACHE_PRETOKENS = 300_000
+#: Pre-tokens whose ids a task keeps; when full it starts anew. Affects speed only.
+CACHE_PRETOKENS = 200_000
 
 
 class PretokenEncoder:
@@ -35,17 +35,23 @@ class PretokenEncoder:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
         # texts without any special string's first characters need no search
         self.hint = os.path.commonprefix(special).encode() if special else None
         self.merger = rank_merger(path)
         self.forget()
 
+    @cached_property
+    def tokenizer(self):  # noqa: ANN201
+        """The library's tokenizer, read where the first text needs it."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def forget(self) -> None:
         self.slots: dict[bytes, int] = {}
         self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
@@ -184,11 +190,11 @@ def pretokens(kind: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 @lru_cache(1)
 def encoder_of(vocabulary: str) -> PretokenEncoder:
-    """One encoder a worker process, so that its pre-tokens serve all its tasks."""
+    """One encoder a worker process; a task leaves no pre-tokens in it, as workers outlive tasks and count as memory."""
     return PretokenEncoder(vocabulary)
 
 
-def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, block_bytes: int = 1 << 20) -> DataFrame:
+def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, block_bytes: int = 1 << 19) -> DataFrame:
     """Pieces of at most capacity ids of every document and its end_id: doc_id, piece, start, length, ids_crc32.
 
     Only documents of more than capacity ids are cut; their first piece takes what is left
@@ -215,6 +221,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, b
                 [batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        encoder.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

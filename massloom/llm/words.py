@@ -12,8 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text handled at once; one longer text is handled alone, as a whole.
-BLOCK_BYTES = 1 << 20
+#: Bytes of text handled at once; one longer text is handled alone, as a whole. Its arrays have 8 bytes a byte, and
+#: small ones go back to the system when freed, so that workers stay small over many tasks.
+BLOCK_BYTES = 1 << 18
+#: Bytes of text for which powers are kept.
+KEPT_POWERS = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
 _VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -45,7 +48,7 @@ def _power(name: str, base: int, n: int) -> np.ndarray:
         known = np.full(max(n, BLOCK_BYTES + 1), base, np.uint64)
         known[0] = 1
         np.multiply.accumulate(known, out=known)
-        if n <= BLOCK_BYTES + 1:
+        if n <= KEPT_POWERS + 1:
             _powers[name] = known
     return known
 
