@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,29 +36,39 @@ def parsimonious(edges: DataFrame, least_peptides: int, least_unique: int) -> Da
     return counts.where((F.col("n_peptides") >= least_peptides) & (F.col("n_unique") >= max(least_unique, 1)))
 
 
-def greedy_cover(edges: DataFrame, chosen: DataFrame, least_peptides: int, rounds: int = 100) -> DataFrame:
+def greedy_cover(edges: DataFrame, chosen: DataFrame, least_peptides: int) -> DataFrame:
     """More proteins, largest first (ties: smallest), until no unchosen protein with enough peptides is free of chosen peptides.
 
     Each round takes, at once, all proteins that are largest among those they share a
-    peptide with: what one by one would take, too, as they don't affect each other.
+    peptide with: what one by one would take, too, as they don't affect each other. Rounds
+    end when none is left; what is left after each is written to the shared folder.
     """
     sizes = edges.groupBy("protein").agg(F.count("*").alias("size")).where(F.col("size") >= least_peptides)
     left = edges.join(sizes, "protein")
-    taken = chosen.select("protein")
+    taken = _written(chosen.select("protein").distinct())
     out = taken
-    for _ in range(rounds):
+    while not taken.isEmpty() or out is taken:
         used = edges.join(taken, "protein", "left_semi").select("peptide").distinct()
         hit = left.join(used, "peptide", "left_semi").select("protein").distinct()
-        left = left.join(hit.unionByName(taken).distinct(), "protein", "left_anti").checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else left.join(hit.unionByName(taken).distinct(), "protein", "left_anti")
-        rank = F.struct(F.col("size"), -F.col("protein").cast("double"), F.col("protein"))
-        best = left.groupBy("peptide").agg(F.max(rank).alias("best"))
-        taken = left.join(best, "peptide").groupBy("protein").agg(F.min((F.col("best.protein") == F.col("protein")).cast("int")).alias("all")).where("all = 1").select("protein")
+        left = _written(left.join(hit.unionByName(taken).distinct(), "protein", "left_anti"))
+        rank = F.struct((-F.col("size")).alias("size"), "protein")
+        best = left.groupBy("peptide").agg(F.min(rank).alias("best"))
+        taken = _written(left.join(best, "peptide").groupBy("protein").agg(F.min((F.col("best.protein") == F.col("protein")).cast("int")).alias("all")).where("all = 1").select("protein"))
         if taken.isEmpty():
             break
         out = out.unionByName(taken)
     return out.distinct()
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, reread: no lineage, and safe from lost executors."""
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
+    path = f"{base.rstrip('/')}/cover-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def run_counts(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """Counts of each (protein, run) from rows (run, peptide, spectra) and the chosen proteins' edges (protein, peptide).
 

@@ -59,16 +59,25 @@ def protein_filter_parsimony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proteins.parsimonious(shared, 100, 15)
 
 
+@query(f"""WITH RECURSIVE s AS MATERIALIZED (SELECT protein, list(peptide) AS k FROM {_SPARSE} GROUP BY protein),
+    r AS (SELECT 0 AS step, CAST(NULL AS BIGINT) AS protein, CAST([] AS BIGINT[]) AS used UNION ALL
+        SELECT step + 1, best.protein, list_concat(used, best.k) FROM (SELECT r.step, r.used, min(struct_pack(size := -len(s.k), protein := s.protein, k := s.k)) AS best FROM r JOIN s ON NOT list_has_any(s.k, r.used) GROUP BY r.step, r.used))
+    SELECT protein FROM r WHERE step > 0""")
+def greedy_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proteins taken one by one, the largest that shares no peptide with those taken."""
+    graph = _sparse(spark, sf_dir)
+    return proteins.greedy_cover(graph, graph.select("protein").limit(0), 1)
+
+
 _RUNS = "(SELECT o_orderpriority AS run, l_partkey AS peptide, l_suppkey AS protein FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
-_CHOSEN = f"(SELECT * FROM {EDGES} WHERE protein % 3 = 0)"
 _COUNTS = f"""SELECT protein, run, CAST(count(CASE WHEN n = 1 THEN 1 END) AS BIGINT) AS unique_peptides, CAST(count(*) AS BIGINT) AS total_peptides, CAST(sum(CASE WHEN n = 1 THEN s ELSE 0 END) AS BIGINT) AS unique_spectra, CAST(sum(s) AS BIGINT) AS total_spectra, sum(s / CAST(n AS DOUBLE)) AS balanced
-    FROM (SELECT run, peptide, count(*) AS s FROM {_RUNS} GROUP BY ALL) JOIN (SELECT *, count(*) OVER (PARTITION BY peptide) AS n FROM {_CHOSEN}) USING (peptide) GROUP BY protein, run"""
+    FROM (SELECT run, peptide, count(*) AS s FROM {_RUNS} GROUP BY ALL) JOIN (SELECT *, count(*) OVER (PARTITION BY peptide) AS n FROM {EDGES}) USING (peptide) GROUP BY protein, run"""
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("run"))
     rows = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("run", F.col("l_partkey").alias("peptide"), F.lit(1).alias("spectra"))
-    return proteins.run_counts(rows, edges(spark, sf_dir).where(F.col("protein") % 3 == 0))
+    return proteins.run_counts(rows, edges(spark, sf_dir))
 
 
 @query(f"SELECT * EXCLUDE (balanced), round(balanced, 6) AS balanced_spectra FROM ({_COUNTS})")
@@ -76,9 +85,9 @@ def balanced_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(spark, sf_dir).withColumn("balanced_spectra", F.round("balanced_spectra", 6))
 
 
-@query(f"WITH c AS ({_COUNTS}), t AS (SELECT run, sum(balanced) AS total FROM c GROUP BY run) SELECT protein, run, round(balanced * (SELECT avg(total) FROM t) / total, 2) AS normalised_spectra FROM c JOIN t USING (run)")
+@query(f"WITH c AS ({_COUNTS}), t AS (SELECT run, sum(balanced) AS total FROM c GROUP BY run) SELECT protein, run, round(balanced * (SELECT avg(total) FROM t) / total, 6) AS normalised_spectra FROM c JOIN t USING (run)")
 def normalized_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return proteins.normalised(_counts(spark, sf_dir)).select("protein", "run", "normalised_spectra")
+    return proteins.normalised(_counts(spark, sf_dir), digits=6).select("protein", "run", "normalised_spectra")
 
 
 _WINS = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file, scan ORDER BY protein, {TIES}) r FROM {PSM}) WHERE r = 1)"

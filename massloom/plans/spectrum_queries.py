@@ -124,10 +124,9 @@ def ptm_single_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.single_modifications(peptides, "~", "M").select("peptide", "position", "modified")
 
 
-@query("SELECT CAST(n AS DOUBLE) AS n, round(ln_f, 5) AS ln_factorial FROM (SELECT n, sum(ln(greatest(n, 1))) OVER (ORDER BY n ROWS UNBOUNDED PRECEDING) AS ln_f FROM (SELECT p_partkey AS n FROM part WHERE p_partkey <= 1000))")
+@query("SELECT CAST(p_partkey AS DOUBLE) AS n, round(lgamma(p_partkey + 1), 5) AS ln_factorial FROM part")
 def ln_factorial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = F.array(*map(F.lit, chemistry.ln_factorials(1000).tolist()))
-    return table(spark, sf_dir, "part").where("p_partkey <= 1000").select(F.col("p_partkey").cast("double").alias("n"), F.round(F.element_at(known, F.col("p_partkey").cast("int") + 1), 5).alias("ln_factorial"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("double").alias("n"), F.round(chemistry.ln_factorial(F.col("p_partkey")), 5).alias("ln_factorial"))
 
 
 @query("SELECT p_partkey, round(power(0.98930, p_size % 7), 5) AS p0, round(CASE WHEN p_size % 7 >= 1 THEN (p_size % 7) * 0.01070 * power(0.98930, p_size % 7 - 1) ELSE 0 END, 5) AS p1 FROM part")

@@ -104,6 +104,10 @@ def test_inference(spark):
     none = e.where("false").select("protein")
     cover = {r.protein for r in proteins.greedy_cover(e, none, 1).collect()}
     assert 4 in cover and 1 in cover and 3 not in cover and 2 not in cover
+    named = e.select(F.concat(F.lit("P"), "protein").alias("protein"), "peptide")
+    assert {r.protein for r in proteins.greedy_cover(named, named.select("protein").limit(0), 1).collect()} == {"P1", "P4"}
+    assert {r.protein for r in proteins.greedy_cover(named, named.where("protein = 'P2'").select("protein"), 1).collect()} == {"P2", "P4"}
+    assert proteins.greedy_cover(named.limit(0), named.select("protein").limit(0), 1).count() == 0
     assert proteins.cluster_levels([1, 1, 2, 10, 11, 30], 3) == [0, 0, 0, 1, 1, 2]
     levels = spark.createDataFrame([(1, float(x)) for x in (1, 1, 2, 10, 11, 30)], "owner long, level double")
     got = {(r.cluster, r.n, round(r.mean_level, 3), round(r.sd_level, 3)) for r in proteins.enrichment_clusters(levels, 3.0).collect()}
