@@ -272,9 +272,10 @@ def test_repeated_passages(spark):
     assert substring_dedup.cut_words("a b\nc d", [(1, 2)]) == "a d" and substring_dedup.cut_words(" a ", []) == " a "
 
 
-@pytest.mark.parametrize("parts", [1, 16])
-def test_passages_whose_parts_are_common(spark, parts):
+@pytest.mark.parametrize(("parts", "keys"), [(1, 2_000_000), (16, 2_000_000), (3, 0)])
+def test_passages_whose_parts_are_common(spark, monkeypatch, parts, keys):
     """Pairs share two lines that many smaller documents hold one of."""
+    monkeypatch.setattr(substring_dedup, "BROADCAST_KEYS", keys)
     rng = np.random.default_rng(11)
     texts, expected = [], {}
     for _ in range(40):
