@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from massloom.llm.components import components
 from massloom.llm.staging import BROADCAST_KEYS, release, semi_by_key, stage
-from massloom.llm.words import blocks, mix, sequence_hash, shingle_hashes, word_hashes
+from massloom.llm.words import blocks, give_back, mix, sequence_hash, shingle_hashes, word_hashes
 
 #: The forest: trees (sorted orders), minhashes in each tree's key, and the depth at which regions begin.
 TREES, DEPTH, BASE_DEPTH = 16, 8, 2
@@ -125,6 +125,7 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
                 [batch.column(0).cast(pa.int64()), *(pa.array(np.array(x, np.int64)) for x in (size, low, high)), pa.array(signature, pa.binary())],
                 ["doc_id", "n_shingles", "set_a", "set_b", "signature"],
             )
+        give_back()
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, signature binary")
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from massloom.llm.staging import fresh_names, release, stage
 from massloom.llm.token_counts import byte_letters
-from massloom.llm.words import blocks, range_hashes, string_bytes
+from massloom.llm.words import blocks, give_back, range_hashes, string_bytes
 
 #: Pre-tokens whose ids a task keeps; when full it starts anew. Affects speed only.
 CACHE_PRETOKENS = 200_000
@@ -222,6 +222,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, b
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
         encoder.forget()
+        give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")

@@ -7,6 +7,7 @@ running sum over a batch gives the hashes of all words in it.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,3 +125,11 @@ def shingle_hashes(words: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndar
 def sequence_hash(words: np.ndarray) -> np.uint64:
     """Hash of a short sequence of words as a whole."""
     return mix((words * _SHINGLE[32 : 32 + len(words)]).sum(keepdims=True) + np.uint64(len(words)))[0]
+
+
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: idle workers stay and count as their executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
