@@ -92,3 +92,20 @@ def peptides_in_proteins(proteins: DataFrame, peptides: DataFrame, k: int = 6) -
         part = peptides.where(F.length("peptide") == n)
         out = out.unionByName(proteins.select("protein_id", runs(n).alias("peptide")).join(part, "peptide").select("protein_id", "peptide"))
     return out.distinct()
+
+
+def all_in_tolerance(queries: DataFrame, peaks: DataFrame, key: Sequence[str], query: str, peak: str, tolerance: float) -> DataFrame:
+    """Each query with every peak of its key that is nearer than tolerance."""
+    left = queries.withColumn("_bin", F.explode(F.array(*(F.floor(F.col(query) / tolerance).cast("long") + d for d in (-1, 0, 1)))))
+    right = peaks.withColumn("_bin", F.floor(F.col(peak) / tolerance).cast("long"))
+    return left.join(right, [*key, "_bin"]).where(F.abs(F.col(query) - F.col(peak)) < tolerance).drop("_bin")
+
+
+def at_levels(scans: DataFrame, levels: int = 100) -> DataFrame:
+    """Each scan once for each enrichment level from 0 on: the workload of a sweep, made row by row without a join."""
+    return scans.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+
+
+def unbraced(df: DataFrame, group: str, item: str) -> DataFrame:
+    """A row for each item of a group text {a,b}; a text without braces is its only item."""
+    return df.withColumn(item, F.explode(F.split(F.regexp_replace(group, r"^\{|\}$", ""), ",")))

@@ -92,3 +92,14 @@ def site_table(peptides: DataFrame, proteins: DataFrame, symbols: str) -> DataFr
     before, after = context(F.col("seq"), F.col("position"))
     out = counted.join(bare, ["protein_id", "position", "ptm"], "left")
     return out.select("protein_id", "position", "residue", "ptm", "modified_peptides", "modified_spectra", F.coalesce("unmodified_peptides", F.lit(0)).alias("unmodified_peptides"), F.coalesce("unmodified_spectra", F.lit(0)).alias("unmodified_spectra"), "best_score", before.alias("before"), after.alias("after"))
+
+
+def peak_heights(used: DataFrame, chromatograms: DataFrame, key: list[str], psm: str, chromatogram: str, height: str) -> DataFrame:
+    """Summed heights of the distinct chromatograms that hold a key's matches; 1 where that is 0.
+
+    used: key and match, a row each; chromatograms: chromatogram, height and match, a row for each match it holds.
+    """
+    reached = used.select(*key, psm).distinct().join(chromatograms.select(psm, chromatogram, height).distinct(), psm, "left")
+    once = reached.groupBy(*key, chromatogram).agg(F.max(height).alias("_height"))
+    total = once.groupBy(*key).agg(F.coalesce(F.sum("_height"), F.lit(0.0)).alias("_sum"))
+    return total.select(*key, F.when(F.col("_sum") == 0, 1.0).otherwise(F.col("_sum")).alias("peak_height"))

@@ -125,3 +125,78 @@ def label_of(proteins: Column, reserved: str | None, train: str, test: str) -> C
 def has_target(proteins: Column, prefixes: Sequence[str]) -> Column:
     """Whether any protein has none of the decoys' prefixes."""
     return F.exists(proteins, lambda p: ~F.greatest(*(p.startswith(x) for x in prefixes), F.lit(False)))
+
+
+def score_statistics(df: DataFrame, by: Sequence[str], score: str) -> DataFrame:
+    """Number, mean and sample deviation (0 for one) of a group's scores."""
+    return df.groupBy(*by).agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.coalesce(F.stddev_samp(score), F.lit(0.0)).alias("deviation"))
+
+
+def purge(df: DataFrame, by: Sequence[str], scores: Sequence[str], ties: Sequence[Column], trigger: int = 100, k: int = 20) -> DataFrame:
+    """Groups of more than `trigger` rows keep those among the k first by any score; others keep all."""
+    ranked = df.withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
+    for s in scores:
+        ranked = ranked.withColumn(f"_rank_{s}", ordinal(by, [F.desc(s), *ties]))
+    ranks = [f"_rank_{s}" for s in scores]
+    return ranked.where((F.col("_n") <= trigger) | (F.least(*ranks) <= k)).drop("_n", *ranks)
+
+
+def best_with_merged_ties(df: DataFrame, by: Sequence[str], order: Sequence[Column], item: str, name: str) -> DataFrame:
+    """The first row of each group; rows that tie with it in all of `order` add their items to its sorted list."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    tied = df.withColumn("_r", F.rank().over(w)).where("_r = 1").drop("_r")
+    rest = [c for c in df.columns if c not in (*by, item)]
+    return tied.groupBy(*by).agg(*(F.min_by(c, item).alias(c) for c in rest), F.array_sort(F.collect_set(item)).alias(name))
+
+
+def localisation(df: DataFrame, by: Sequence[str], scores: Sequence[str], original: str, identified: str, ptms: str, ties: Sequence[Column]) -> DataFrame:
+    """For each score's first candidate of a scan: delta_p, how far its first isomer falls behind.
+
+    An isomer has the same original peptide and number of modifications at other places. Its
+    distance is the mean over all scores, relative to the scan's best of each (0 where that
+    is 0). A modified peptide without an isomer has 1, an unmodified one null.
+    """
+    w = Window.partitionBy(*by)
+    df = df.withColumns({f"_max_{s}": F.max(s).over(w) for s in scores})
+    parts = []
+    for s in scores:
+        ordered = w.orderBy(F.desc(s), *ties)
+        ranked = df.select("*", F.row_number().over(ordered).alias("_r"), F.first(F.struct(original, identified, ptms, *scores)).over(ordered).alias("_top"))
+        isomer = (F.col(original) == F.col(f"_top.{original}")) & (F.col(ptms) == F.col(f"_top.{ptms}")) & (F.col(identified) != F.col(f"_top.{identified}"))
+        behind = sum((F.when(F.col(f"_max_{x}") != 0, (F.col(f"_top.{x}") - F.col(x)) / F.col(f"_max_{x}")).otherwise(0.0) for x in scores), F.lit(0.0)) / len(scores)
+        found = ranked.groupBy(*by).agg(F.first("_top").alias("_top"), F.min_by(behind, F.when(isomer, F.col("_r"))).alias("_behind"))
+        delta = F.when(F.col(f"_top.{ptms}") > 0, F.coalesce("_behind", F.lit(1.0)))
+        parts.append(found.select(*by, F.lit(s).alias("score"), F.col(f"_top.{identified}").alias(identified), delta.alias("delta_p")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def with_positive_best(df: DataFrame, by: Sequence[str], score: str) -> DataFrame:
+    """Rows of the groups whose best score is above 0."""
+    return df.withColumn("_best", F.max(score).over(Window.partitionBy(*by))).where("_best > 0").drop("_best")
+
+
+def without_zero_scores(df: DataFrame, scores: Sequence[str]) -> DataFrame:
+    """Rows of which no score is exactly 0."""
+    keep = F.lit(True)
+    for s in scores:
+        keep = keep & (F.col(s) != 0)
+    return df.where(keep)
+
+
+def report_statistics(psms: DataFrame, label: Column, peptide: list[str]) -> DataFrame:
+    """One row: matches, distinct peptides and the decoy share of both, by label (1 forward, 2 training decoy, 3 test decoy)."""
+    labelled = psms.withColumn("_label", label)
+    peptides = labelled.groupBy(*peptide).agg(F.min("_label").alias("_label"), F.count("*").alias("_n"), *(F.count(F.when(F.col("_label") == k, 1)).alias(f"_n{k}") for k in (1, 2, 3)))
+
+    def ratio(a: Column, b: Column) -> Column:
+        return F.coalesce(F.try_divide(a, b), F.lit(0.0))
+
+    n = {k: F.coalesce(F.sum(f"_n{k}"), F.lit(0)) for k in (1, 2, 3)}
+    m = {k: F.count(F.when(F.col("_label") == k, 1)) for k in (1, 2, 3)}
+    return peptides.agg(
+        n[1].alias("forward_psms"), n[2].alias("train_psms"), n[3].alias("test_psms"), ratio(n[3], n[1]).alias("psm_fdr"),
+        m[1].alias("forward_peptides"), m[2].alias("train_peptides"), m[3].alias("test_peptides"), ratio(m[3], m[1]).alias("peptide_fdr"),
+    )

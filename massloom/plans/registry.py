@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from massloom.plans import matches, protein_queries, spectrum_queries
+from massloom.plans import matches, protein_queries, report_queries, spectrum_queries
 
-QUERIES = matches.REGISTRY.queries | protein_queries.REGISTRY.queries | spectrum_queries.REGISTRY.queries
-ORACLE_SQL = matches.REGISTRY.sql | protein_queries.REGISTRY.sql | spectrum_queries.REGISTRY.sql
+QUERIES = matches.REGISTRY.queries | protein_queries.REGISTRY.queries | spectrum_queries.REGISTRY.queries | report_queries.REGISTRY.queries
+ORACLE_SQL = matches.REGISTRY.sql | protein_queries.REGISTRY.sql | spectrum_queries.REGISTRY.sql | report_queries.REGISTRY.sql
