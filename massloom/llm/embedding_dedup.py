@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from massloom.llm.components import components
 from massloom.llm.staging import release, stage
 
-#: Vectors (a bounded sample) whose own cover tree gives the order in which all vectors are dealt into blocks.
+#: Expected vectors of a sample by hash, whose own cover tree gives the order in which all vectors are dealt into blocks; lengths of at most so many vectors are one block.
 PIVOTS = 1024
 #: Vectors in a block, and the most blocks; beyond BLOCK * MOST_BLOCKS vectors, blocks grow. MOST_BLOCKS bounds the centres that are broadcast.
 BLOCK, LEAST_BLOCKS, MOST_BLOCKS = 4096, 16, 4096
@@ -115,6 +115,16 @@ def links(p: Tree, q: Tree, threshold: float, same: bool) -> tuple[np.ndarray, n
         if same and u > v:
             continue
         a, b = slice(p.starts[last][u], p.ends[last][u]), slice(q.starts[last][v], q.ends[last][v])
+        own = same and u == v
+        between = 0.0 if own else float(chord(p.x[a.start] @ q.x[b.start]))
+        if between + p.radius[last][u] + q.radius[last][v] <= reach - 8 * _ROUNDING:
+            # so near that all are linked with all
+            n_p[a] += q.weights[b].sum() - (p.weights[a] if own else 0)
+            if not own:
+                (n_p if same else n_q)[b] += p.weights[a].sum()
+            ids = np.unique(np.concatenate([p.ids[a], q.ids[b]]))
+            edges.append((ids, np.full(len(ids), ids[0])))
+            continue
         for k in range(a.start, a.stop, 2048):
             r = slice(k, min(k + 2048, a.stop))
             cosine = p.x[r] @ q.x[b].T
@@ -144,13 +154,19 @@ def links(p: Tree, q: Tree, threshold: float, same: bool) -> tuple[np.ndarray, n
     return n_p, n_q, edges
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """v, or a power of two times v where its squares would leave the range of doubles."""
+    top = np.abs(v).max()
+    return v if 1e-140 < top < 1e140 else np.ldexp(v, -int(np.frexp(top)[1]))
+
+
 def _usable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The components of usable vectors as bytes of doubles; null for the others."""
     for batch in batches:
         out = []
         for x in batch.column(1):
             v = None if not x.is_valid or x.values.null_count else np.asarray(x.values, np.float64)
-            out.append(v.tobytes() if v is not None and len(v) and np.isfinite(v).all() and v.any() and np.isfinite(v @ v) and v @ v > 0 else None)
+            out.append(_scaled(v).tobytes() if v is not None and len(v) and np.isfinite(v).all() and v.any() else None)
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.binary())], ["vec_id", "vector"])
 
 
@@ -169,7 +185,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataF
     levels of halving radii. Pairs of blocks, then of nodes level by level, are dropped when
     the centres' distance less both covering radii exceeds the threshold's chord; members
     of what is left are compared in double precision. Vectors of different lengths are
-    never linked.
+    never linked. Squares that would leave the range of doubles are scaled first.
 
     Null or zero vectors, and those with null or non-finite components, link with nothing;
     rows without a vec_id are counted as none and returned with a null component_id. Rows
@@ -180,8 +196,12 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataF
     usable = read.where("vector is not null and vec_id is not null")
     nodes, nodes_path = stage(usable.groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight")).withColumn("size", F.octet_length("vector")), "vector-nodes")
     counted, paths = [], [nodes_path]
-    for (size,) in nodes.select("size").distinct().collect() if _few_sizes(nodes) else []:
+    # every length listed has over PIVOTS vectors
+    sizes = nodes.groupBy("size").agg(F.count("*").alias("n"))
+    large = [r[0] for r in sizes.where(F.col("n") > PIVOTS).select("size").collect()]
+    for size in large:
         counted.append(_linked(nodes.where(F.col("size") == size), size // 8, threshold, paths))
+    counted.append(_linked_small(nodes.where(~F.col("size").isin(large)) if large else nodes, threshold))
     none = spark.createDataFrame([], "id long, n long, other long")
     linked = none
     for x in counted:
@@ -195,18 +215,36 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.95) -> DataF
     return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _few_sizes(nodes: DataFrame, most: int = 1000) -> bool:
-    n = nodes.select("size").distinct().limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} different vector lengths")
-    return n > 0
+def _pairs(n_p: np.ndarray, p_ids: np.ndarray, n_q: np.ndarray, q_ids: np.ndarray, edges: list[tuple[np.ndarray, np.ndarray]]) -> list[pa.Array]:
+    """Columns id, n, other: link counts (other is null), and edges (n is 0)."""
+    ids = np.concatenate([p_ids, q_ids, *(e[0] for e in edges)])
+    count = np.concatenate([n_p, n_q, *(np.zeros(len(e[0]), np.int64) for e in edges)])
+    other = np.concatenate([np.full(len(p_ids) + len(q_ids), -1), *(e[1] for e in edges)])
+    is_count = np.arange(len(ids)) < len(p_ids) + len(q_ids)
+    keep = np.where(is_count, count > 0, other != ids)
+    return [pa.array(ids[keep]), pa.array(count[keep]), pa.array(other[keep], mask=is_count[keep])]
+
+
+def _linked_small(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Links among vectors of each length of at most PIVOTS vectors: one block a length, so any number of lengths is one job."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        raw, ids = _matrix(table.column("vector").combine_chunks()), table.column("id").to_numpy()
+        order, starts = cover_levels(units(raw))
+        tree = Tree(ids[order], table.column("weight").to_numpy()[order], raw[order], starts)
+        n_p, n_q, edges = links(tree, tree, threshold, True)
+        return pa.table(_pairs(n_p, tree.ids, n_q, tree.ids, edges), names=["id", "n", "other"])
+
+    return nodes.groupBy("size").applyInArrow(compare, "id long, n long, other long")
 
 
 def _linked(nodes: DataFrame, width: int, threshold: float, paths: list[str]) -> DataFrame:
     spark = nodes.sparkSession
     n = nodes.count()
-    pivots = _matrix(nodes.orderBy(F.xxhash64("id")).limit(PIVOTS).select("vector").toArrow().column(0).combine_chunks())
-    pivots = units(pivots)
+    # about PIVOTS rows by a hash of the id: each is expected with PIVOTS in n
+    sample = nodes.where(F.pmod(F.xxhash64("id"), F.lit(n)) < PIVOTS).select("id", "vector").toArrow().sort_by("id").combine_chunks()
+    pivots = units(_matrix(sample.column("vector").combine_chunks()))
     pivots = pivots[cover_levels(pivots)[0]]
     known = spark.sparkContext.broadcast(pivots)
 
@@ -276,12 +314,7 @@ def _linked(nodes: DataFrame, width: int, threshold: float, paths: list[str]) ->
                 p, same = tree(row, "p"), row["p"] == row["q"]
                 q = p if same else tree(row, "q")
                 n_p, n_q, edges = links(p, q, threshold, same)
-                ids = np.concatenate([p.ids, q.ids, *(e[0] for e in edges)])
-                count = np.concatenate([n_p, n_q, *(np.zeros(len(e[0]), np.int64) for e in edges)])
-                other = np.concatenate([np.full(len(p.ids) + len(q.ids), -1), *(e[1] for e in edges)])
-                keep = (count > 0) | ((other != ids) & (np.arange(len(ids)) >= len(p.ids) + len(q.ids)))
-                mask = np.arange(len(ids)) < len(p.ids) + len(q.ids)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(count[keep]), pa.array(other[keep], mask=mask[keep])], ["id", "n", "other"])
+                yield pa.RecordBatch.from_arrays(_pairs(n_p, p.ids, n_q, q.ids, edges), ["id", "n", "other"])
 
     def sided(side: str) -> DataFrame:
         return blocks.select(F.col("block").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("ids", "weights", "vectors", "starts")))

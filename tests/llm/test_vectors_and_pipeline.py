@@ -42,6 +42,25 @@ def test_vectors_against_brute_force(spark):
     assert embedding_dedup.near_duplicate_vectors(df.where("false"), 0.95).count() == 0
 
 
+def test_vectors_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "PIVOTS", 16)
+    rng = np.random.default_rng(3)
+    vectors = [(c + rng.normal(size=8) * s).tolist() for c in rng.normal(size=(9, 8)) for s in (0.001, 0.02, 0.2) for _ in range(7)]
+    vectors += [[1e200, 0.0], [1e200, 0.0], [3e-200, 1e-210], [0.0, 5e-324], [1.0, 1.0]]
+    ids = rng.permutation(len(vectors)).tolist()
+    usual = [[x / max(map(abs, v)) for x in v] for v in vectors]
+    df = spark.createDataFrame(list(zip(ids, vectors, strict=True)), "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicate_vectors(df, 0.95).collect()}
+    assert got == brute(ids, usual, 0.95)
+
+
+def test_any_number_of_lengths_and_repeated_ids(spark):
+    rows = [(n, [1.0] * (1 + n // 2)) for n in range(2400)] + [(7, [1.0] * 4), (None, [1.0] * 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_dedup.near_duplicate_vectors(df, 0.95).collect() if r.vec_id is not None)
+    assert got == sorted([(n, 2 if n in (6, 7) else 1, n - n % 2) for n in range(2400)] + [(7, 2, 6)])
+
+
 def test_tree_levels_are_nested():
     rng = np.random.default_rng(2)
     x = embedding_dedup.units(np.concatenate([rng.normal(size=(40, 6)), rng.normal(size=6) + rng.normal(size=(60, 6)) * 0.05]))
