@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from massloom.llm.staging import semi_by_key, stage
@@ -51,9 +51,13 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, p
 
     Numbers, names and units become typed placeholders; windows of `window` template words
     are joined by hash. Then, in the documents found, matched windows are laid out by the
-    distance of their places in document and item: on one distance each value of the item
-    must stand for one value of the document, and windows of distances where it doesn't are
-    not counted. Items of fewer words than a window are one window of their own length.
+    distance of their places in document and item. Distances that follow one another by at
+    most half the item's words are one occurrence. In it each value of the item must stand
+    for one value of the document, and each name of the document for one name of the item
+    (numbers may fall together, as new parameters can be equal). Windows of a distance where
+    that doesn't hold, or that contradicts a distance of more windows (or as many, and
+    smaller), are not counted. Items of fewer words than a window are one window of their
+    own length.
 
     Null and empty texts and items match nothing; rows without an id are left out. Rows that
     repeat a doc_id or item_id count as one document or item that has the windows of each.
@@ -74,7 +78,7 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, p
         item_windows = part if item_windows is None else item_windows.unionByName(part)
     item_windows, _ = stage(item_windows, "leak-windows")
     known = item_windows.select("item_id", "window").distinct()
-    sizes_of = known.groupBy("item_id").agg(F.count("*").alias("n_windows"))
+    sizes_of = item_windows.groupBy("item_id").agg(F.count_distinct("window").alias("n_windows"), F.max(F.col("place") + F.size("item_words")).alias("n_words"))
     few = item_windows.count() <= BROADCAST_WINDOWS
 
     def side(df: DataFrame) -> DataFrame:
@@ -98,10 +102,22 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, p
     placed = placed.join(candidates, ["doc_id", "item_id"], "left_semi")
     placed = placed.select("doc_id", "item_id", "window", (F.col("doc_place") - F.col("place")).alias("shift"), "item_words", "doc_words")
     placed, _ = stage(placed, "leak-placed")
-    slots = placed.select("doc_id", "item_id", "shift", F.explode(F.filter(F.arrays_zip("item_words", "doc_words"), lambda z: z["item_words"].rlike(r"^[\x01\x02]"))).alias("slot"))
-    values = slots.groupBy("doc_id", "item_id", "shift", F.col("slot.item_words").alias("value")).agg(F.min("slot.doc_words").alias("least"), F.max("slot.doc_words").alias("most"))
-    verdicts = values.groupBy("doc_id", "item_id", "shift").agg(F.max((F.col("least") != F.col("most")).cast("int")).alias("mixed"), F.max((F.col("least") != F.col("value")).cast("int")).alias("reworded"))
-    held = placed.select("doc_id", "item_id", "shift", "window").distinct().join(verdicts, ["doc_id", "item_id", "shift"], "left").where(F.coalesce("mixed", F.lit(0)) == 0)
+    pair = ["doc_id", "item_id"]
+    shifts = placed.groupBy(*pair, "shift").agg(F.count_distinct("window").alias("n")).join(side(sizes_of), "item_id")
+    following = Window.partitionBy(*pair).orderBy("shift")
+    apart = F.col("shift") - F.lag("shift").over(following) > F.col("n_words") / 2
+    shifts = shifts.withColumn("apart", F.coalesce(apart.cast("int"), F.lit(0))).withColumn("occurrence", F.sum("apart").over(following))
+    slots = placed.select(*pair, "shift", F.explode(F.filter(F.arrays_zip("item_words", "doc_words"), lambda z: z["item_words"].rlike(r"^[\x01\x02]"))).alias("slot"))
+    values = slots.groupBy(*pair, "shift", F.col("slot.item_words").alias("value")).agg(F.min("slot.doc_words").alias("least"), F.max("slot.doc_words").alias("most"))
+    values = values.join(shifts.select(*pair, "shift", "n", "occurrence"), [*pair, "shift"])
+    # the mapping of a value, and of a name back, is that of the distance with most windows
+    strength = F.struct("n", -F.col("shift"))
+    stands_for = F.max_by("least", strength).over(Window.partitionBy(*pair, "occurrence", "value"))
+    stood_for = F.max_by("value", F.struct("n", -F.col("shift"), "value")).over(Window.partitionBy(*pair, "occurrence", "least"))
+    renamed = F.col("value").startswith("\x02") & (F.col("value") != stood_for)
+    values = values.withColumn("clash", (F.col("least") != F.col("most")) | (F.col("least") != stands_for) | renamed)
+    verdicts = values.groupBy(*pair, "shift").agg(F.max(F.col("clash").cast("int")).alias("mixed"), F.max((F.col("least") != F.col("value")).cast("int")).alias("reworded"))
+    held = placed.select(*pair, "shift", "window").distinct().join(verdicts, [*pair, "shift"], "left").where(F.coalesce("mixed", F.lit(0)) == 0)
     matched = held.groupBy("doc_id", "item_id", "window").agg(F.min(F.coalesce("reworded", F.lit(0))).alias("reworded")).groupBy("doc_id", "item_id").agg(F.count("*").alias("n_matched"), (F.max("reworded") == 1).alias("reworded"))
     return matched.join(side(sizes_of), "item_id").where(enough).select("doc_id", "item_id", "n_windows", "n_matched", "reworded")
 
