@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,8 +14,6 @@ from massloom.llm.staging import release, stage
 
 #: A path segment stays literal if it has at least this share of its parent's urls (and so often at least); so a node has at most 1 / SHARE literal children.
 SHARE, LEAST = 0.02, 5
-#: Segments of a path that are told apart; what follows counts as one last segment.
-MOST_SEGMENTS = 12
 #: Siblings merge if what follows them differs by less than this Jensen-Shannon divergence (in bits).
 DIVERGENCE = 0.05
 #: Pseudo-labels with which a template's purity is drawn to its host's, and a host's to all hosts'.
@@ -89,29 +88,36 @@ def _merge_siblings(group: pd.DataFrame) -> pd.DataFrame:
 def templates(paths: DataFrame) -> DataFrame:
     """The template of each (host, path) of paths (host, path, n, distinct by host and path): columns host, path, template.
 
-    Level by level from the root: rare segments under a node become the wildcard *; the
-    frequent ones stay literal, and those followed alike merge into one branch. All
+    From the root on: rare segments under a node become the wildcard *; the frequent ones
+    stay literal, and those followed alike merge into one branch. Segments that all paths of
+    a node have in common are taken in one step, and so is what is left below a node with too
+    few urls for a literal; so a long path needs no more rounds than branches. All
     aggregations are over distinct paths with their counts, combined before the shuffle.
     """
     spark = paths.sparkSession
-    parts = F.split(F.col("path"), "/", MOST_SEGMENTS + 1)
-    level, path = stage(paths.select("host", "path", "n", F.slice(parts, 2, MOST_SEGMENTS).alias("parts"), F.lit("").alias("node")), "url-level")
-    deepest = level.agg(F.max(F.size("parts"))).first()[0] or 0
-    for d in range(deepest):
-        own = level.withColumn("segment", F.get("parts", F.lit(d)))
-        there = own.where("segment is not null")
-        children = there.groupBy("host", "node", "segment").agg(F.sum("n").alias("n"))
-        totals = children.groupBy("host", "node").agg(F.sum("n").alias("total"))
-        literal = children.join(totals, ["host", "node"]).where((F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("total"))).select("host", "node", "segment")
-        literal, literal_path = stage(literal, "url-literal")
-        following = there.join(literal, ["host", "node", "segment"]).groupBy("host", "node", "segment", _shape(F.get("parts", F.lit(d + 1))).alias("shape")).agg(F.sum("n").alias("n"))
+    parts = F.split(F.col("path"), "/")
+    level, _ = stage(paths.select("host", "path", "n", F.slice(parts, 2, F.size(parts)).alias("rest"), F.lit("").alias("node")), "url-level")
+    done = []
+    while True:
+        done.append(level.where(F.size("rest") == 0).select("host", "path", "node"))
+        own = level.where(F.size("rest") > 0).withColumn("segment", F.get("rest", F.lit(0)))
+        if own.isEmpty():
+            break
+        differ = F.array_position(F.zip_with("low", "high", lambda x, y: F.coalesce(x == y, F.lit(False))), False)
+        common = F.when(differ == 0, F.size("low")).otherwise(differ - 1).cast("int")
+        nodes = own.groupBy("host", "node").agg(F.sum("n").alias("total"), F.min("rest").alias("low"), F.max("rest").alias("high"))
+        nodes, nodes_path = stage(nodes.select("host", "node", "total", common.alias("common")), "url-nodes")
+        # with a common segment, all of a node go the same way
+        literal = own.groupBy("host", "node", "segment").agg(F.sum("n").alias("n")).join(nodes.where((F.col("total") >= LEAST) & (F.col("common") == 0)), ["host", "node"])
+        literal, literal_path = stage(literal.where((F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("total"))).select("host", "node", "segment"), "url-literal")
+        following = own.join(literal, ["host", "node", "segment"]).groupBy("host", "node", "segment", _shape(F.get("rest", F.lit(1))).alias("shape")).agg(F.sum("n").alias("n"))
         branches = following.groupBy("host", "node").applyInPandas(_merge_siblings, "host string, node string, segment string, branch string")
-        after = own.join(branches, ["host", "node", "segment"], "left")
-        after = after.withColumn("node", F.when(F.col("segment").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), F.coalesce("branch", F.lit("*")))))
-        level, after_path = stage(after.select("host", "path", "n", "parts", "node"), "url-level")
-        release(spark, path, literal_path)
-        path = after_path
-    return level.select("host", "path", F.col("node").alias("template"))
+        after = own.join(nodes, ["host", "node"]).join(branches, ["host", "node", "segment"], "left")
+        step = F.when(F.col("total") < LEAST, F.size("rest")).otherwise(F.greatest("common", F.lit(1)))
+        names = F.when(F.col("total") < LEAST, F.expr("repeat('/*', size(rest))")).when(F.col("common") > 0, F.concat(F.lit("/"), F.array_join(F.slice("rest", 1, F.col("common")), "/"))).otherwise(F.concat(F.lit("/"), F.coalesce("branch", F.lit("*"))))
+        level, _ = stage(after.select("host", "path", "n", F.slice("rest", step + 1, F.size("rest")).alias("rest"), F.concat("node", names).alias("node")), "url-level")
+        release(spark, nodes_path, literal_path)
+    return reduce(DataFrame.unionByName, done).select("host", "path", F.col("node").alias("template"))
 
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:

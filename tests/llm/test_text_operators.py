@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -355,6 +356,24 @@ def test_decontamination(spark):
     assert not re.search("Python|Arrow|Pandas", text)
 
 
+def test_slots_over_all_distances(spark):
+    question = "Tom has 12 apples and gives some of the rope to Anna before he walks with Ben over the hill for 12 miles home and sleeps until the next morning comes"
+    items = spark.createDataFrame([(0, question), (0, question)], "item_id long, text string")
+    filler = "the quick brown fox jumps over a lazy dog and then sleeps for a long while. "
+    inserted = question.replace("he walks", "he slowly walks")
+    texts = [
+        filler + inserted,
+        filler + inserted.replace("12", "31"),
+        filler + inserted.replace("12 apples", "31 apples").replace("12 miles", "99 miles"),
+        filler + question.replace("12", "31") + " " + filler + question.replace("12", "99"),
+        filler + question.replace("Anna", "Mary").replace("Ben", "John"),
+        filler + question.replace("Anna", "Mary").replace("Ben", "Mary"),
+    ]
+    found = decontamination.benchmark_matches(docs(spark, texts), items).collect()
+    assert sorted(r.doc_id for r in found) == [0, 1, 3, 4]
+    assert {r.doc_id for r in found if r.reworded} == {1, 3, 4}
+
+
 def test_lm_scores_are_those_of_exact_counts(spark, monkeypatch):
     rng = np.random.default_rng(8)
     texts = [None, "", "Aa aa\tbb", *(make(rng, int(rng.integers(1, 200)), 300) for _ in range(80))]
@@ -436,6 +455,45 @@ def test_bloom_levels():
     assert (bloom.levels(words.mix(np.arange(100, 400, dtype=np.uint64))) > 0).mean() < 0.05
 
 
+def brute_templates(rows):
+    """Template by (host, path), node by node."""
+    out, todo = {}, [(h, "", [(p, p.split("/")[1:], n) for g, p, n in rows if g == h]) for h in {r[0] for r in rows}]
+    shape = {"end": lambda s: s is None, "slash": lambda s: s == "", "number": str.isdigit, "code": lambda s: re.fullmatch("[0-9A-Fa-f-]*[0-9][0-9A-Fa-f-]*", s), "word": lambda s: True}
+    while todo:
+        host, node, inside = todo.pop()
+        out |= {(host, p): node for p, rest, _ in inside if not rest}
+        inside = [x for x in inside if x[1]]
+        counts = Counter()
+        for _, rest, n in inside:
+            counts[rest[0]] += n
+        literal = {s for s, n in counts.items() if n >= url_filter.LEAST and n >= url_filter.SHARE * counts.total()}
+        after = Counter()
+        for _, rest, n in inside:
+            if rest[0] in literal:
+                s = rest[1] if len(rest) > 1 else None
+                after[rest[0], next(k for k, test in shape.items() if test(s))] += n
+        branch = {}
+        if after:
+            table = pd.DataFrame([(host, node, s, k, n) for (s, k), n in after.items()], columns=["host", "node", "segment", "shape", "n"])
+            branch = {r.segment: r.branch for r in url_filter._merge_siblings(table).itertuples()}
+        below = defaultdict(list)
+        for p, rest, n in inside:
+            below[branch.get(rest[0], "*")].append((p, rest[1:], n))
+        todo += [(host, f"{node}/{name}", xs) for name, xs in below.items()]
+    return out
+
+
+def test_templates_against_brute_force(spark):
+    rng = np.random.default_rng(21)
+    names = ["a", "b", "news", "shop", "7", "x1", "", "zz"]
+    rows = {("h" if i % 3 else "k", "".join(f"/{names[int(j)]}" for j in rng.integers(0, 8, int(rng.integers(0, 6))))): int(rng.integers(1, 9)) for i in range(300)}
+    rows |= {("h", "/long" * 400): 9, ("h", "/long" * 400 + "/a"): 1, ("h", "/rare/" + "s/" * 500): 2, ("", ""): 3, ("k", "/once" * 300): 1}
+    rows = [(*k, n) for k, n in rows.items()]
+    df = spark.createDataFrame(rows, "host string, path string, n long")
+    got = {(r.host, r.path): r.template for r in url_filter.templates(df).collect()}
+    assert got == brute_templates(rows)
+
+
 def test_url_rules_and_templates(spark):
     rules = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"))
     urls = [None, "", "no scheme", "http://WWW.Example.COM/en/x?q#f", "https://a.example.com/en/1", "https://a.example.com/de/1", "http://x.net/es/", "http://x.net/fr", "http://com", "http://notcom/", "://h/p", "http://a#://b/c"]
