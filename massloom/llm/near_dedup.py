@@ -21,6 +21,8 @@ HASHES = TREES * DEPTH
 #: signatures are compared with so many next in order at any depth. That links most of a large region; what is
 #: left apart in it is compared pair by pair afterwards (see dense_links).
 REGION, NEIGHBOURS = 12, 3
+#: Signatures planned for one range of the sorted orders, which a task sweeps at once (80 bytes each).
+RANGE_ROWS = 1 << 16
 #: Signatures of a large region in one chunk; pairs of chunks are compared by separate tasks.
 CHUNK = 1024
 #: Documents and bytes of shingles in one block; the links between two blocks are confirmed together.
@@ -314,7 +316,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     nodes, nodes_path = stage(usable.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "signature")).alias("first")).select("set_a", "set_b", F.col("first.doc_id").alias("id"), F.col("first.signature").alias("signature")), "near-nodes")
 
     rows, rows_path = stage(nodes.select("id", "signature").mapInArrow(_forest_rows, "tree int, key binary, id long, sketch binary"), "near-forest")
-    swept, swept_path = stage(rows.repartitionByRange("tree", "key", "id").sortWithinPartitions("tree", "key", "id").mapInArrow(_sweep_partition, _SWEPT), "near-swept")
+    ranges = max(1, -(-TREES * nodes.count() // RANGE_ROWS))
+    swept, swept_path = stage(rows.repartitionByRange(ranges, "tree", "key", "id").sortWithinPartitions("tree", "key", "id").mapInArrow(_sweep_partition, _SWEPT), "near-swept")
     release(spark, rows_path)
     across = swept.where(f"boundary <> {DENSE}").groupBy("boundary").applyInArrow(_sweep_boundary, "a long, b long, similarity double")
     found = swept.where("a is not null").select("a", "b", "similarity").unionByName(across)
