@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Largest number of 8-byte keys that may be broadcast (16 MB); beyond it a shuffled join is used.
 BROADCAST_KEYS = 2_000_000
+#: Bytes of a row group of a staged table: a task holds one to write it.
+ROW_GROUP_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,7 +25,7 @@ def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as Parquet in the shared folder and return it reread, with its path."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
