@@ -122,7 +122,7 @@ def fit_severity(docs: DataFrame, grades: DataFrame, n_grades: int, split: bool
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array(least, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))], ["grade", "signature", "words"])
 
     # copies and near copies of a text (equal in three minhashes) count once, else their other words would look telling
-    sample, _ = stage(texts.mapInArrow(distinct_words, "grade int, signature long, words array<long>").dropDuplicates(["signature"]).drop("signature"), "severity-sample")
+    sample, _ = stage(texts.mapInArrow(distinct_words, "grade int, signature long, words array<long>").groupBy("signature").agg(F.min(F.struct("grade", "words")).alias("first")).select("first.*"), "severity-sample")
     sizes = dict(sample.groupBy("grade").count().collect())
     n = sum(sizes.values())
     found = sample.select("grade", F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("texts"), *(F.count(F.when(F.col("grade") == j, 1)).alias(f"n{j}") for j in range(n_grades)))
@@ -141,8 +141,10 @@ def fit_severity(docs: DataFrame, grades: DataFrame, n_grades: int, split: bool
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.searchsorted(hit, ends).astype(np.int32)), pa.array(at[hit].astype(np.int32)))], ["grade", "features"])
 
     sample = sample.mapInArrow(sparse, "grade int, features array<int>").toArrow().combine_chunks()
-    features = sample.column("features").to_pylist()
-    grade = sample.column("grade").to_numpy().astype(np.int64)
+    # in an order of their own, so that rounding doesn't depend on the tasks
+    sample = sorted(zip(sample.column("grade").to_pylist(), sample.column("features").to_pylist(), strict=True))
+    features = [f for _, f in sample]
+    grade = np.array([g for g, _ in sample], np.int64)
     row = np.repeat(np.arange(len(grade)), [len(f) for f in features]).astype(np.int64)
     feature = np.array([x for f in features for x in f], np.int64)
     order = np.lexsort((feature, row))
