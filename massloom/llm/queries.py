@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from massloom.llm.decontamination import benchmark_matches
 from massloom.llm.embedding_dedup import near_duplicate_vectors
+from massloom.llm.exact_dedup import exact_copies
+from massloom.llm.fill_in_middle import fill_in_middle, restored
 from massloom.llm.html_text import main_text
 from massloom.llm.lm_score import score_documents
 from massloom.llm.near_dedup import near_duplicates
 from massloom.llm.packing import pack_documents
+from massloom.llm.resampling import importance_resample
 from massloom.llm.substring_dedup import repeated_passages
 from massloom.llm.token_counts import token_counts
 from massloom.llm.toxicity import OrdinalModel, fit_severity, severity
@@ -82,7 +85,21 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_best_fit_packing, op4_minhash_near_dedup, op5_substring_dedup, op6_html_extraction, op7_decontamination, op8_lm_scoring, op9_token_counts, op10_embedding_near_dedup)}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_copies(table(spark, sf_dir, "documents"), keep="largest")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents"), seed=1, percent=90, spm_percent=20)
+    back = restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=5, seed=42, least_words=20)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_best_fit_packing, op4_minhash_near_dedup, op5_substring_dedup, op6_html_extraction, op7_decontamination, op8_lm_scoring, op9_token_counts, op10_embedding_near_dedup, op11_exact_dedup, op12_fill_in_middle, op13_importance_resampling)}
 
 OP4_SQL = r"""
 WITH RECURSIVE words AS MATERIALIZED (
@@ -125,5 +142,30 @@ SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, coalesce(r.root, e
 FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN roots r ON r.node = e.vec_id
 """
 
+OP11_SQL = """
+WITH texts AS MATERIALIZED (
+    SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), groups AS (
+    SELECT t, max(doc_id) AS keep_id, count(*) AS group_size, sha256(t) AS text_sha256 FROM texts GROUP BY t
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM texts JOIN groups USING (t)
+"""
+
+OP12_SQL = """
+WITH drawn AS (
+    SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n,
+        list_transform(range(0, 4), lambda k: list_reduce(list_transform(range(1, 9), lambda i: CAST(instr('0123456789abcdef', sha256('1:' || doc_id)[8 * k + i]) - 1 AS BIGINT)), lambda a, x: a * 16 + x)) AS h FROM documents
+), cut AS (
+    SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn
+), parts AS (
+    SELECT *, left(t, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1, n - b) AS suffix FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+    sha256(t) AS restored_sha256 FROM parts
+"""
+
+#: SQL has no CRC-32, so op13 is tested against brute force.
 #: SQL has no tokenizer, classifier or wrapper inference; op5's and op7's passages and op1's tree are tested on small fixtures.
-ORACLE_SQLS: dict[str, str] = {"op4_minhash_near_dedup": OP4_SQL, "op10_embedding_near_dedup": OP10_SQL}
+ORACLE_SQLS: dict[str, str] = {"op4_minhash_near_dedup": OP4_SQL, "op10_embedding_near_dedup": OP10_SQL, "op11_exact_dedup": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
