@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from massloom.plans import matches, protein_queries, report_queries, spectrum_queries
+from massloom.plans import envelope_queries, matches, protein_queries, report_queries, spectrum_queries
 
-QUERIES = matches.REGISTRY.queries | protein_queries.REGISTRY.queries | spectrum_queries.REGISTRY.queries | report_queries.REGISTRY.queries
-ORACLE_SQL = matches.REGISTRY.sql | protein_queries.REGISTRY.sql | spectrum_queries.REGISTRY.sql | report_queries.REGISTRY.sql
+_MODULES = (matches, protein_queries, spectrum_queries, report_queries, envelope_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.REGISTRY.queries.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.REGISTRY.sql.items()}
