@@ -23,7 +23,7 @@ from massloom.llm.staging import release, stage
 from massloom.llm.words import blocks, give_back, string_bytes
 
 #: Buckets of hashed features; words in the longest feature; bytes of text in a block.
-BUCKETS, LONGEST, BLOCK_BYTES = 10_000, 3, 4 << 20
+BUCKETS, LONGEST, BLOCK_BYTES = 10_000, 3, 2 << 20
 #: Words that a document needs to be drawn.
 LEAST_WORDS = 20
 
