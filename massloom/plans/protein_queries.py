@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.operators import proteins, quant
+from massloom.operators import inference, proteins, quant
 from massloom.plans.tables import EDGES, PSM, TIES, Registry, edges, is_test, is_train, psms, table, ties
 
 REGISTRY = Registry()
@@ -153,3 +153,26 @@ def glm_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = psms(spark, sf_dir).withColumn("target", F.when(is_test(), 0.0).otherwise(1.0))
     return binomial_fit(rows, ["z", "mvh", "pct"], "target").select("file", "scan", "line", "pep", "protein", F.round("fitted", 6).alias("fitted"))
+
+
+#: Graph of proteins and peptides in many components: an order is a peptide, a supplier's share of 40 orders a protein.
+_SPANS = "(SELECT DISTINCT l_orderkey // 40 * 1000 + l_suppkey % 37 AS protein, l_orderkey AS peptide FROM lineitem)"
+
+
+def _inference_sql(least_peptides: int, least_unique: int) -> str:
+    greedy = f"""UNION ALL SELECT unnest(list_reduce(list({{'used': peptides, 'taken': [protein]}} ORDER BY n DESC, protein), lambda a, x: CASE WHEN list_has_any(a.used, x.used) THEN a ELSE {{'used': list_concat(a.used, x.used), 'taken': list_concat(a.taken, x.taken)}} END).taken) AS protein, 2 AS phase
+        FROM (SELECT protein, list(peptide) AS peptides, count(*) AS n FROM edges WHERE protein NOT IN (SELECT protein FROM chosen) AND protein NOT IN (SELECT protein FROM covered) GROUP BY protein HAVING n >= {least_peptides}) GROUP BY protein // 1000"""
+    return f"""(WITH edges AS MATERIALIZED {_SPANS}, degrees AS MATERIALIZED (SELECT peptide, count(*) AS degree FROM edges GROUP BY peptide),
+        counts AS MATERIALIZED (SELECT protein, count(*) AS n, count(*) FILTER (degree = 1) AS alone FROM edges JOIN degrees USING (peptide) GROUP BY protein),
+        chosen AS MATERIALIZED (SELECT protein FROM counts WHERE n >= {least_peptides} AND alone >= {max(least_unique, 1)}),
+        covered AS MATERIALIZED (SELECT DISTINCT a.protein FROM edges a JOIN edges b USING (peptide) JOIN counts c ON c.protein = a.protein WHERE b.protein IN (SELECT protein FROM chosen) AND a.protein NOT IN (SELECT protein FROM chosen) GROUP BY a.protein, b.protein, c.n HAVING count(*) = c.n)
+        SELECT CAST({least_unique} AS INTEGER) AS least_unique, protein, CAST(phase AS INTEGER) AS phase FROM (SELECT protein, 1 AS phase FROM chosen {greedy if least_unique == 0 else ''}))"""
+
+
+@query(" UNION ALL ".join(_inference_sql(n + 1, n) for n in (0, 1, 2)))
+def inference_by_component(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proteins inferred with at least 0, 1 and 2 unique peptides, and one peptide more."""
+    lines = table(spark, sf_dir, "lineitem")
+    graph = lines.select((F.floor(F.col("l_orderkey") / 40) * 1000 + F.col("l_suppkey") % 37).alias("protein"), F.col("l_orderkey").alias("peptide")).distinct()
+    found = [inference.infer_proteins(graph, n + 1, n).select(F.lit(n).alias("least_unique"), "protein", "phase") for n in (0, 1, 2)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
