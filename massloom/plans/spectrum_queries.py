@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from massloom.functions import chemistry
-from massloom.operators import digest, joins, quant, scoring, spectra
+from massloom.operators import digest, joins, quant, spectra
 from massloom.plans.tables import PEAKS, PROTEINS, Registry, peaks, proteins, scans, table
 
 REGISTRY = Registry()
@@ -149,30 +149,6 @@ def pct_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectra.enrichment_levels(spark).select("level", "heavy", "search_name")
 
 
-def _pairs(spark: SparkSession, sf_dir: str, score: str) -> DataFrame:
-    """Peptides on the spectra whose number their hash picks: a stand-in for the precursor join's result."""
-    peptides = digest.digest(proteins(spark, sf_dir), AFTER, BEFORE, 0, 7, 20).select("peptide").distinct()
-    n = table(spark, sf_dir, "embeddings").count()
-    peptides = peptides.withColumn("scan", F.pmod(F.crc32(F.col("peptide").cast("binary")), F.lit(max(n, 1))))
-    spec = scans(spark, sf_dir).select("scan", F.col("z").alias("charge"), F.lit(2000.0).alias("neutral_mass"), F.transform("peaks", lambda p: p["mz"]).alias("mz"), F.transform("peaks", lambda p: p["inten"]).alias("inten"))
-    return scoring.score_pairs(peptides.join(spec, "scan"), 100.0, 730.0, tolerance=1.0, scores=(score,))
-
-
-@query()
-def mvh_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir, "mvh").select("scan", "peptide", F.round("mvh", 6).alias("mvh"))
-
-
-@query()
-def xcorr_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir, "xcorr").select("scan", "peptide", F.round("xcorr", 6).alias("xcorr"))
-
-
-@query()
-def wdp_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir, "wdp").select("scan", "peptide", F.round("wdp", 6).alias("wdp"))
-
-
 @query()
 def ptm_combinatorics(spark: SparkSession, sf_dir: str) -> DataFrame:
     peptides = digest.digest(proteins(spark, sf_dir), AFTER, BEFORE, 0, 7, 12).select("peptide").distinct()

@@ -8,7 +8,7 @@ import pytest
 from massloom.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"mvh_score", "xcorr_score", "wdp_score", "mutations"}
+SLOW = {"mutations"}
 
 
 @pytest.fixture(scope="module")
