@@ -109,3 +109,41 @@ def at_levels(scans: DataFrame, levels: int = 100) -> DataFrame:
 def unbraced(df: DataFrame, group: str, item: str) -> DataFrame:
     """A row for each item of a group text {a,b}; a text without braces is its only item."""
     return df.withColumn(item, F.explode(F.split(F.regexp_replace(group, r"^\{|\}$", ""), ",")))
+
+
+def kmers(text: Column, k: int) -> Column:
+    """Distinct runs of k letters of a text; none of a shorter one."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1)))
+    return F.when(F.length(text) >= k, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(k))))).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def rarest_kmers(proteins: DataFrame, peptides: DataFrame, k: int = 6) -> DataFrame:
+    """Peptides of k letters or more with their rarest run of k: peptide, kmer, holders (proteins that hold it).
+
+    Peptides with a run that no protein holds are left out, as nothing can hold them.
+    """
+    wanted = peptides.select("peptide").distinct().select("peptide", F.explode(kmers(F.col("peptide"), k)).alias("kmer"))
+    held = proteins.select("protein_id", F.explode(kmers(F.col("seq"), k)).alias("kmer")).join(wanted.select("kmer").distinct(), "kmer", "left_semi")
+    counts = held.groupBy("kmer").agg(F.count("*").alias("holders"))
+    best = wanted.join(counts, "kmer", "left").groupBy("peptide").agg(F.min(F.struct(F.coalesce("holders", F.lit(0).cast("long")).alias("holders"), "kmer")).alias("best"))
+    return best.where("best.holders > 0").select("peptide", "best.kmer", "best.holders")
+
+
+def peptide_search(proteins: DataFrame, peptides: DataFrame, k: int = 6) -> DataFrame:
+    """(protein_id, peptide) where the protein's seq holds the peptide; each pair once.
+
+    A peptide is looked for only in the proteins that hold its rarest run of k letters, so that a run
+    that all proteins share brings no pairs together. Sequences are joined to these candidates last.
+    Shorter peptides are joined by runs of their own length. Null and empty peptides and
+    sequences match nothing; repeated rows count once.
+    """
+    whole = proteins.where("protein_id is not null and seq is not null")
+    wanted = peptides.where("peptide <> ''").select("peptide").distinct()
+    keys = rarest_kmers(whole, wanted.where(F.length("peptide") >= k), k)
+    held = whole.select("protein_id", F.explode(kmers(F.col("seq"), k)).alias("kmer"))
+    near = held.join(keys.select("kmer", "peptide"), "kmer").select("protein_id", "peptide").distinct()
+    out = whole.select("protein_id", "seq").join(near, "protein_id").where(F.expr("instr(seq, peptide) > 0")).select("protein_id", "peptide")
+    for n in range(1, k):
+        part = wanted.where(F.length("peptide") == n)
+        out = out.unionByName(whole.select("protein_id", F.explode(kmers(F.col("seq"), n)).alias("peptide")).join(part, "peptide").select("protein_id", "peptide"))
+    return out.distinct()

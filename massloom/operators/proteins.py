@@ -174,3 +174,48 @@ def enrichment_clusters(levels: DataFrame, threshold: float) -> DataFrame:
     return out.withColumn("sd_level", F.when(F.col("n") > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).otherwise(0.0)).drop("_q")
 
 
+def linked_features(psms: DataFrame, peptide: str, form: str, protein: str) -> DataFrame:
+    """Features of each form of a peptide from the graph of peptides and proteins: one row for each (peptide, form).
+
+    psms: a row for each match and protein of it. A peptide's proteins are those of all its matches, and each
+    of them counts all its matches, as unique if it has one protein, else as shared (or a share
+    each, balanced). Of a peptide's proteins the counts without the match itself are compared.
+
+    form_spectra, peptide_spectra, n_proteins; most_unique, most_shared, most_balanced and sum_unique, sum_shared, sum_balanced over the
+    proteins; linked_unique and linked_shared of the protein with most of both (ties: the
+    smallest), linked_balanced_unique and linked_balanced_shared likewise; peptides,
+    unique_peptides, shared_peptides (the most of a protein); most_other_spectra, those of the
+    strongest other peptide that shares a protein with this one (0 without any).
+    """
+    forms = psms.groupBy(peptide, form).agg(F.count("*").alias("form_spectra"))
+    counts = forms.groupBy(peptide).agg(F.sum("form_spectra").alias("peptide_spectra"))
+    edges = psms.select(peptide, protein).distinct()
+    degree = edges.groupBy(peptide).agg(F.count("*").alias("n_proteins"))
+    each = edges.join(degree, peptide).join(counts, peptide)
+    alone = F.col("n_proteins") == 1
+    spectra = F.col("peptide_spectra")
+    rank = F.struct(spectra.alias("n"), F.col(peptide).alias("p"))
+    of_protein = each.groupBy(protein).agg(
+        F.sum(F.when(alone, spectra).otherwise(0)).alias("u"), F.sum(F.when(alone, 0).otherwise(spectra)).alias("s"), F.sum(F.when(alone, 0.0).otherwise(spectra / F.col("n_proteins"))).alias("b"),
+        F.count("*").alias("peptides"), F.count(F.when(alone, 1)).alias("up"), F.count(F.when(~alone, 1)).alias("sp"), F.max(rank).alias("first"),
+    )
+    # the best holder but for the best one: with the two, the greatest over all others is known to each peptide
+    second = each.join(of_protein.select(protein, "first"), protein).where(F.col(peptide) != F.col("first.p")).groupBy(protein).agg(F.max(rank).alias("second"))
+    both = each.join(of_protein, protein).join(second, protein, "left")
+    u, s = F.col("u") - alone.cast("int"), F.col("s") - (~alone).cast("int")
+    b = F.round(F.col("b") - F.when(alone, 0.0).otherwise(1 / F.col("n_proteins")), 6)
+    other = F.when(F.col(peptide) == F.col("first.p"), F.col("second.n")).otherwise(F.col("first.n"))
+    both = both.select(peptide, protein, "n_proteins", "peptide_spectra", u.alias("u"), s.alias("s"), b.alias("b"), "peptides", "up", "sp", other.alias("other"))
+    linked = F.min(F.struct((-(F.col("u") + F.col("s"))).alias("order"), F.col(protein).alias("by"), "u", "s"))
+    balanced = F.min(F.struct(F.round(-(F.col("u") + F.col("b")), 6).alias("order"), F.col(protein).alias("by"), "u", "b"))
+    rows = both.groupBy(peptide, "n_proteins", "peptide_spectra").agg(
+        F.max("u").alias("most_unique"), F.max("s").alias("most_shared"), F.max("b").alias("most_balanced"), F.sum("u").alias("sum_unique"), F.sum("s").alias("sum_shared"), F.round(F.sum("b"), 5).alias("sum_balanced"),
+        linked.alias("l"), balanced.alias("m"), F.max("peptides").alias("peptides"), F.max("up").alias("_up"), F.max("sp").alias("_sp"), F.coalesce(F.max("other"), F.lit(0)).alias("most_other_spectra"),
+    )
+    one = F.col("n_proteins") == 1
+    rows = rows.select(
+        peptide, "n_proteins", "peptide_spectra", "most_unique", "most_shared", "most_balanced", "sum_unique", "sum_shared", "sum_balanced",
+        F.col("l.u").alias("linked_unique"), F.col("l.s").alias("linked_shared"), F.col("m.u").alias("linked_balanced_unique"), F.col("m.b").alias("linked_balanced_shared"),
+        "peptides", F.when(one, F.col("_up")).otherwise(0).alias("unique_peptides"), F.when(one, 0).otherwise(F.col("_sp")).alias("shared_peptides"), "most_other_spectra",
+    )
+    return forms.join(rows, peptide)

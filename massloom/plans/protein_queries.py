@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.operators import inference, proteins, quant
-from massloom.plans.tables import EDGES, PSM, TIES, Registry, edges, is_test, is_train, psms, table, ties
+from massloom.operators import digest, inference, joins, proteins, quant
+from massloom.plans.spectrum_queries import AFTER, BEFORE, _digest_sql
+from massloom.plans.tables import EDGES, PROTEINS, PSM, TIES, Registry, edges, is_test, is_train, psms, sequences, table, ties
 
 REGISTRY = Registry()
 query = REGISTRY.add
@@ -176,3 +177,29 @@ def inference_by_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = lines.select((F.floor(F.col("l_orderkey") / 40) * 1000 + F.col("l_suppkey") % 37).alias("protein"), F.col("l_orderkey").alias("peptide")).distinct()
     found = [inference.infer_proteins(graph, n + 1, n).select(F.lit(n).alias("least_unique"), "protein", "phase") for n in (0, 1, 2)]
     return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query(f"""WITH m AS (SELECT pep, line % 3 AS form, protein FROM {PSM}), forms AS (SELECT pep, form, count(*) AS form_spectra FROM m GROUP BY ALL), k AS (SELECT pep, CAST(sum(form_spectra) AS BIGINT) AS peptide_spectra FROM forms GROUP BY pep),
+    e AS (SELECT *, count(*) OVER (PARTITION BY pep) AS n_proteins FROM (SELECT DISTINCT pep, protein FROM m)), x AS MATERIALIZED (SELECT * FROM e JOIN k USING (pep)),
+    p AS MATERIALIZED (SELECT protein, sum(peptide_spectra) FILTER (n_proteins = 1) AS u, sum(peptide_spectra) FILTER (n_proteins > 1) AS s, sum(peptide_spectra / n_proteins) FILTER (n_proteins > 1) AS b, count(*) AS peptides, count(*) FILTER (n_proteins = 1) AS up, count(*) FILTER (n_proteins > 1) AS sp FROM x GROUP BY protein),
+    y AS MATERIALIZED (SELECT x.*, coalesce(u, 0) - (n_proteins = 1)::INT AS u, coalesce(s, 0) - (n_proteins > 1)::INT AS s, round(coalesce(b, 0) - CASE WHEN n_proteins > 1 THEN 1 / n_proteins ELSE 0 END, 6) AS b, peptides, up, sp FROM x JOIN p USING (protein)),
+    o AS (SELECT a.pep, max(b.peptide_spectra) AS other FROM x a JOIN x b ON a.protein = b.protein AND a.pep <> b.pep GROUP BY a.pep),
+    f AS (SELECT pep, n_proteins, peptide_spectra, max(u) AS most_unique, max(s) AS most_shared, max(b) AS most_balanced, sum(u) AS sum_unique, sum(s) AS sum_shared, round(sum(b), 5) AS sum_balanced,
+        arg_min({{'u': u, 's': s}}, {{'o': -(u + s), 'p': protein}}) AS l, arg_min({{'u': u, 'b': b}}, {{'o': round(-(u + b), 6), 'p': protein}}) AS q, max(peptides) AS peptides, max(up) AS up, max(sp) AS sp FROM y GROUP BY ALL)
+    SELECT pep, CAST(form AS BIGINT) AS form, form_spectra, peptide_spectra, n_proteins, CAST(most_unique AS BIGINT) AS most_unique, CAST(most_shared AS BIGINT) AS most_shared, most_balanced, CAST(sum_unique AS BIGINT) AS sum_unique, CAST(sum_shared AS BIGINT) AS sum_shared, sum_balanced,
+        CAST(l.u AS BIGINT) AS linked_unique, CAST(l.s AS BIGINT) AS linked_shared, CAST(q.u AS BIGINT) AS linked_balanced_unique, q.b AS linked_balanced_shared, peptides, CASE WHEN n_proteins = 1 THEN up ELSE 0 END AS unique_peptides, CASE WHEN n_proteins = 1 THEN 0 ELSE sp END AS shared_peptides, coalesce(other, 0) AS most_other_spectra
+    FROM forms JOIN f USING (pep) LEFT JOIN o USING (pep)""")
+def linked_protein_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All graph features of the rescoring, by peptide and form."""
+    matches = psms(spark, sf_dir).select("pep", (F.col("line") % 3).cast("long").alias("form"), "protein")
+    return proteins.linked_features(matches, "pep", "form", "protein")
+
+
+_BENCHMARK_PEPTIDES = f"(SELECT DISTINCT peptide FROM ({_digest_sql(0).replace(PROTEINS, PROTEINS.replace('doc_id', 'item_id').replace('FROM documents', 'FROM benchmark')).replace('BETWEEN 7 AND 30', 'BETWEEN 3 AND 60')}))"
+
+
+@query(f"SELECT protein_id, peptide FROM {PROTEINS} JOIN {_BENCHMARK_PEPTIDES} ON contains(seq, peptide)")
+def peptide_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peptides of the benchmark's sequences and the documents' sequences that hold them."""
+    found = digest.digest(sequences(table(spark, sf_dir, "benchmark"), "item_id"), AFTER, BEFORE, 0, 3, 60).select("peptide").distinct()
+    return joins.peptide_search(sequences(table(spark, sf_dir, "documents"), "doc_id"), found)

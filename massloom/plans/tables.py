@@ -81,9 +81,14 @@ def peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROTEINS = "(SELECT CAST(doc_id AS VARCHAR) AS protein_id, regexp_replace(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS seq FROM documents WHERE text IS NOT NULL)"
 
 
-def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sequences(texts: DataFrame, key: str) -> DataFrame:
+    """The same of any table with a text."""
     seq = F.regexp_replace(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "[^ACDEFGHIKLMNPQRSTVWY]", "")
-    return table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("protein_id"), seq.alias("seq"))
+    return texts.where("text is not null").select(F.col(key).cast("string").alias("protein_id"), seq.alias("seq"))
+
+
+def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences(table(spark, sf_dir, "documents"), "doc_id")
 
 
 EDGES = "(SELECT DISTINCT l_suppkey AS protein, l_partkey AS peptide FROM lineitem)"
