@@ -112,9 +112,8 @@ def unbraced(df: DataFrame, group: str, item: str) -> DataFrame:
 
 
 def kmers(text: Column, k: int) -> Column:
-    """Distinct runs of k letters of a text; none of a shorter one."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - k + 1, F.lit(1)))
-    return F.when(F.length(text) >= k, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(k))))).otherwise(F.expr("cast(array() as array<string>)"))
+    """Distinct runs of k letters of a text, found in one pass; none of a shorter one."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)))
 
 
 def rarest_kmers(proteins: DataFrame, peptides: DataFrame, k: int = 6) -> DataFrame:

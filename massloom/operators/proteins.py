@@ -209,7 +209,7 @@ def linked_features(psms: DataFrame, peptide: str, form: str, protein: str) -> D
     linked = F.min(F.struct((-(F.col("u") + F.col("s"))).alias("order"), F.col(protein).alias("by"), "u", "s"))
     balanced = F.min(F.struct(F.round(-(F.col("u") + F.col("b")), 6).alias("order"), F.col(protein).alias("by"), "u", "b"))
     rows = both.groupBy(peptide, "n_proteins", "peptide_spectra").agg(
-        F.max("u").alias("most_unique"), F.max("s").alias("most_shared"), F.max("b").alias("most_balanced"), F.sum("u").alias("sum_unique"), F.sum("s").alias("sum_shared"), F.round(F.sum("b"), 5).alias("sum_balanced"),
+        F.max("u").alias("most_unique"), F.max("s").alias("most_shared"), F.max("b").alias("most_balanced"), F.sum("u").alias("sum_unique"), F.sum("s").alias("sum_shared"), F.round(F.sum("b"), 6).alias("sum_balanced"),
         linked.alias("l"), balanced.alias("m"), F.max("peptides").alias("peptides"), F.max("up").alias("_up"), F.max("sp").alias("_sp"), F.coalesce(F.max("other"), F.lit(0)).alias("most_other_spectra"),
     )
     one = F.col("n_proteins") == 1

@@ -184,7 +184,7 @@ def inference_by_component(spark: SparkSession, sf_dir: str) -> DataFrame:
     p AS MATERIALIZED (SELECT protein, sum(peptide_spectra) FILTER (n_proteins = 1) AS u, sum(peptide_spectra) FILTER (n_proteins > 1) AS s, sum(peptide_spectra / n_proteins) FILTER (n_proteins > 1) AS b, count(*) AS peptides, count(*) FILTER (n_proteins = 1) AS up, count(*) FILTER (n_proteins > 1) AS sp FROM x GROUP BY protein),
     y AS MATERIALIZED (SELECT x.*, coalesce(u, 0) - (n_proteins = 1)::INT AS u, coalesce(s, 0) - (n_proteins > 1)::INT AS s, round(coalesce(b, 0) - CASE WHEN n_proteins > 1 THEN 1 / n_proteins ELSE 0 END, 6) AS b, peptides, up, sp FROM x JOIN p USING (protein)),
     o AS (SELECT a.pep, max(b.peptide_spectra) AS other FROM x a JOIN x b ON a.protein = b.protein AND a.pep <> b.pep GROUP BY a.pep),
-    f AS (SELECT pep, n_proteins, peptide_spectra, max(u) AS most_unique, max(s) AS most_shared, max(b) AS most_balanced, sum(u) AS sum_unique, sum(s) AS sum_shared, round(sum(b), 5) AS sum_balanced,
+    f AS (SELECT pep, n_proteins, peptide_spectra, max(u) AS most_unique, max(s) AS most_shared, max(b) AS most_balanced, sum(u) AS sum_unique, sum(s) AS sum_shared, round(sum(b), 6) AS sum_balanced,
         arg_min({{'u': u, 's': s}}, {{'o': -(u + s), 'p': protein}}) AS l, arg_min({{'u': u, 'b': b}}, {{'o': round(-(u + b), 6), 'p': protein}}) AS q, max(peptides) AS peptides, max(up) AS up, max(sp) AS sp FROM y GROUP BY ALL)
     SELECT pep, CAST(form AS BIGINT) AS form, form_spectra, peptide_spectra, n_proteins, CAST(most_unique AS BIGINT) AS most_unique, CAST(most_shared AS BIGINT) AS most_shared, most_balanced, CAST(sum_unique AS BIGINT) AS sum_unique, CAST(sum_shared AS BIGINT) AS sum_shared, sum_balanced,
         CAST(l.u AS BIGINT) AS linked_unique, CAST(l.s AS BIGINT) AS linked_shared, CAST(q.u AS BIGINT) AS linked_balanced_unique, q.b AS linked_balanced_shared, peptides, CASE WHEN n_proteins = 1 THEN up ELSE 0 END AS unique_peptides, CASE WHEN n_proteins = 1 THEN 0 ELSE sp END AS shared_peptides, coalesce(other, 0) AS most_other_spectra
