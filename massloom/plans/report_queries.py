@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from massloom.operators import digest, joins, quant, ranking, scoring, spectra
+from massloom.operators import bucketed, digest, joins, quant, ranking, scoring, spectra
 from massloom.plans.matches import COLUMNS, LIST, SCAN
 from massloom.plans.spectrum_queries import _IONS, _SHORT, AFTER, BEFORE, _ions
 from massloom.plans.tables import LABEL, PEAKS, PSM, TIES, Registry, peaks, proteins, psms, scans, table, ties
@@ -132,3 +132,13 @@ def group_members_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = joins.merge_lists(rows, ["pep"], "protein", "l").select("pep", F.concat(F.lit("{"), F.array_join("l", ","), F.lit("}")).alias("members"))
     members = joins.unbraced(groups, "members", "item").withColumn("protein", F.col("item").cast("long"))
     return members.join(rows, ["pep", "protein"]).groupBy("pep", "members").agg(F.max("mvh").alias("best"), F.count("*").alias("n_psms"))
+
+
+@query(f"""WITH m AS (SELECT scan, pep, max(mvh) AS mvh, array_to_string(list_sort(list(DISTINCT line % 3)), ',') AS searches FROM {PSM} GROUP BY scan, pep)
+    SELECT scan, o_totalprice, pep, mvh, searches, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY scan ORDER BY mvh DESC, pep) AS r FROM m) JOIN orders ON o_orderkey = scan WHERE r <= 3""")
+def search_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best three candidates of each scan over three searches, with the scan's precursor, on tables bucketed by scan."""
+    matches = bucketed.bucketed(psms(spark, sf_dir).select("scan", "pep", "mvh", (F.col("line") % 3).alias("search")), ["scan"])
+    spectra = bucketed.bucketed(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scan"), "o_totalprice"), ["scan"])
+    merged = bucketed.merge_searches(matches, ["scan"], "pep", "search", "mvh", 3)
+    return bucketed.with_scan(merged, spectra, ["scan"]).select("scan", "o_totalprice", "pep", "mvh", F.array_join("searches", ",").alias("searches"), "rank")
