@@ -8,9 +8,11 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from massloom.operators.proteins import linked_features
+
 
 def rescore(df: DataFrame, features: Sequence[str], label: str, penalty: float = 1.0) -> DataFrame:
     """Add probability of label 1 by a ridge logistic regression (penalty: inverse strength, as for a sum over rows)."""
@@ -25,3 +27,19 @@ def binomial_fit(df: DataFrame, features: Sequence[str], label: str) -> DataFram
     rows = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip").transform(df)
     model = GeneralizedLinearRegression(featuresCol="_features", labelCol=label, family="binomial", link="logit", maxIter=25).fit(rows)
     return model.transform(rows).withColumn("fitted", F.col("prediction")).drop("_features", "prediction")
+
+
+def rescoring_features(matches: DataFrame, scan: Sequence[str], scores: Sequence[str], mass_error: Column, missed: Column, peptide: str, form: str, protein: str, ties: Sequence[Column]) -> tuple[DataFrame, list[str]]:
+    """matches (a row for each match and protein) with the features that rescoring is fitted on, and their names.
+
+    The scores; the absolute mass error; of each score the distance to the next match of the scan (0 for
+    its last; ties in the order given); missed cleavages; the spectra of the peptide in all forms;
+    and the unique and shared spectra of its best linked protein, without itself.
+    """
+    out = matches.withColumn("mass_error", F.abs(mass_error)).withColumn("missed", missed)
+    for s in scores:
+        following = F.lead(s).over(Window.partitionBy(*scan).orderBy(F.desc(s), *ties))
+        out = out.withColumn(f"{s}_diff", F.col(s) - F.coalesce(following, F.col(s)))
+    graph = linked_features(matches, peptide, form, protein).select(peptide, form, "peptide_spectra", (F.col("linked_unique") + F.col("linked_shared")).alias("linked_spectra"))
+    names = [*scores, "mass_error", *(f"{s}_diff" for s in scores), "missed", "peptide_spectra", "linked_spectra"]
+    return out.join(graph, [peptide, form]), names

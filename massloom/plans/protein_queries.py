@@ -156,6 +156,16 @@ def glm_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binomial_fit(rows, ["z", "mvh", "pct"], "target").select("file", "scan", "line", "pep", "protein", F.round("fitted", 6).alias("fitted"))
 
 
+_FEATURE_SCORES = ("mvh", "xcorr", "wdp")
+
+
+def _featured(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    from massloom.operators.learning import rescoring_features
+
+    matches = psms(spark, sf_dir).withColumn("form", (F.col("line") % 3).cast("long"))
+    return rescoring_features(matches, ["file", "scan"], _FEATURE_SCORES, F.col("pct") - 0.04, (F.col("pep") % 3).cast("long"), "pep", "form", "protein", ties())
+
+
 #: Graph of proteins and peptides in many components: an order is a peptide, a supplier's share of 40 orders a protein.
 _SPANS = "(SELECT DISTINCT l_orderkey // 40 * 1000 + l_suppkey % 37 AS protein, l_orderkey AS peptide FROM lineitem)"
 
@@ -203,3 +213,23 @@ def peptide_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peptides of the benchmark's sequences and the documents' sequences that hold them."""
     found = digest.digest(sequences(table(spark, sf_dir, "benchmark"), "item_id"), AFTER, BEFORE, 0, 3, 60).select("peptide").distinct()
     return joins.peptide_search(sequences(table(spark, sf_dir, "documents"), "doc_id"), found)
+
+
+@query(f"""WITH m AS (SELECT *, line % 3 AS form FROM {PSM}), k AS (SELECT pep, count(*) AS n FROM m GROUP BY pep), x AS (SELECT pep, protein, n, count(*) OVER (PARTITION BY pep) AS n_proteins FROM (SELECT DISTINCT pep, protein FROM m) JOIN k USING (pep)),
+    p AS (SELECT protein, sum(n) AS spectra FROM x GROUP BY protein), g AS (SELECT pep, n AS peptide_spectra, max(spectra) - 1 AS linked FROM x JOIN p USING (protein) GROUP BY pep, n)
+    SELECT file, scan, line, pep, protein, mvh, xcorr, wdp, round(abs(pct - 0.04), 6) AS mass_error, {', '.join(f'round({s} - coalesce(lead({s}) OVER (PARTITION BY file, scan ORDER BY {s} DESC, {TIES}), {s}), 6) AS {s}_diff' for s in _FEATURE_SCORES)},
+        pep % 3 AS missed, peptide_spectra, CAST(linked AS BIGINT) AS linked_spectra FROM m JOIN g USING (pep)""")
+def rescore_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten features of the rescoring, by match."""
+    rows, names = _featured(spark, sf_dir)
+    return rows.select("file", "scan", "line", "pep", "protein", *(F.round(n, 6).alias(n) if n == "mass_error" or n.endswith("_diff") else n for n in names))
+
+
+@query()
+def rescore_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of each match not to be a training decoy, by a logistic regression over all ten features."""
+    from massloom.operators.learning import rescore
+
+    rows, names = _featured(spark, sf_dir)
+    scored = rescore(rows.withColumn("label", F.when(is_train(), 0.0).otherwise(1.0)), names, "label")
+    return scored.select("file", "scan", "line", "pep", "protein", F.round("probability", 6).alias("probability"))

@@ -149,10 +149,16 @@ def pct_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectra.enrichment_levels(spark).select("level", "heavy", "search_name")
 
 
-@query()
+_FORMS = {"~": "M", "!": "NQ"}
+
+
+@query(f"""WITH RECURSIVE sites AS MATERIALIZED (SELECT peptide, i AS pos, CASE WHEN peptide[i] = 'M' THEN '~' ELSE '!' END AS symbol FROM (SELECT DISTINCT peptide FROM ({_digest_sql(0).replace('BETWEEN 7 AND 30', 'BETWEEN 7 AND 60')})), unnest(range(1, length(peptide) + 1)) AS u(i) WHERE peptide[i] IN ('M', 'N', 'Q')),
+    forms(peptide, modified, pos, n) AS (SELECT peptide, peptide[:pos] || symbol || peptide[pos + 1:], pos, 1 FROM sites UNION ALL SELECT f.peptide, modified[:s.pos + n] || symbol || modified[s.pos + n + 1:], s.pos, n + 1 FROM forms f JOIN sites s ON s.peptide = f.peptide AND s.pos > f.pos WHERE n < 2)
+    SELECT peptide, modified, CAST(n AS INTEGER) AS n_modifications FROM forms""")
 def ptm_combinatorics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    peptides = digest.digest(proteins(spark, sf_dir), AFTER, BEFORE, 0, 7, 12).select("peptide").distinct()
-    return digest.modify(peptides, {"~": "M", "!": "NQ"}, 2)
+    """All peptides of 7 to 60 residues with one or two modifications."""
+    peptides = digest.digest(proteins(spark, sf_dir), AFTER, BEFORE, 0, 7, 60).select("peptide").distinct()
+    return digest.modify(peptides, _FORMS, 2)
 
 
 @query()
