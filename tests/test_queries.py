@@ -14,7 +14,7 @@ SLOW = {"mutations"}
 @pytest.fixture(scope="module")
 def db():
     c = duckdb.connect()
-    for t in ("customer", "documents", "embeddings", "events", "lineitem", "orders", "part", "supplier"):
+    for t in ("benchmark", "customer", "documents", "embeddings", "events", "lineitem", "orders", "part", "supplier"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return c
 
