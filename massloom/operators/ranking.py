@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from massloom.operators.work import written
+
 
 def ordinal(by: Sequence[str], order: Sequence[Column]) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
@@ -56,22 +59,23 @@ def consensus(df: DataFrame, by: Sequence[str], scores: Sequence[str], peptide:
     return wins.select(*by, peptide, "score", level.alias("disagreement"))
 
 
-def running_sums(df: DataFrame, by: Sequence[str], position: str, order: Sequence[Column], sums: dict[str, Column], buckets: int = 1000) -> DataFrame:
+def running_sums(df: DataFrame, by: Sequence[str], position: str, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
     """Add running sums (up to and including the row) in descending order of a number and further ties.
 
-    No task holds a whole class: its range is cut into equal buckets, their sums (at most
-    buckets + 1 rows a class) are run up first, then the rows within each bucket.
+    No task holds a whole class: rows are dealt to ranges of the whole order, ties and all, so neither an outlier
+    nor one frequent number fills a range. The ranges' sums (a row for each class and range) are run up first,
+    then the rows within each range. Null positions come last.
     """
-    keyed = df.select("*", *(c.alias(f"_s_{n}") for n, c in sums.items()), F.lit(0).alias("_all"))
-    by = [*by, "_all"]
-    span = keyed.groupBy(*by).agg(F.max(position).alias("_max"), F.min(position).alias("_min"))
-    width = F.greatest((F.col("_max") - F.col("_min")) / buckets, F.lit(1e-300))
-    placed = keyed.join(F.broadcast(span), by).withColumn("_b", F.floor((F.col("_max") - F.col(position)) / width).cast("long")).drop("_max", "_min")
-    totals = placed.groupBy(*by, "_b").agg(*(F.sum(f"_s_{n}").alias(f"_t_{n}") for n in sums))
-    ahead = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_b", *(F.coalesce(F.sum(f"_t_{n}").over(ahead), F.lit(0)).alias(f"_o_{n}") for n in sums))
-    within = Window.partitionBy(*by, "_b").orderBy(F.desc(position), *order).rowsBetween(Window.unboundedPreceding, 0)
-    out = placed.join(F.broadcast(offsets), [*by, "_b"])
+    keyed = df.select("*", *(c.alias(f"_s_{n}") for n, c in sums.items()))
+    keys = [F.desc(position), *order]
+    dealt, _ = written(keyed.repartitionByRange(*(F.col(c) for c in by), *keys).withColumn("_part", F.spark_partition_id()), "running-sums")
+    part = [*by, "_part"]
+    totals = dealt.groupBy(*part).agg(*(F.sum(f"_s_{n}").alias(f"_t_{n}") for n in sums))
+    ahead = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*(F.col(c).alias(f"_k_{c}") for c in part), *(F.coalesce(F.sum(f"_t_{n}").over(ahead), F.lit(0)).alias(f"_o_{n}") for n in sums))
+    within = Window.partitionBy(*part).orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
+    same = reduce(lambda x, y: x & y, (dealt[c].eqNullSafe(offsets[f"_k_{c}"]) for c in part))
+    out = dealt.join(offsets, same)
     return out.select(*df.columns, *((F.sum(f"_s_{n}").over(within) + F.col(f"_o_{n}")).alias(n) for n in sums))
 
 
