@@ -103,3 +103,19 @@ def peak_heights(used: DataFrame, chromatograms: DataFrame, key: list[str], psm:
     once = reached.groupBy(*key, chromatogram).agg(F.max(height).alias("_height"))
     total = once.groupBy(*key).agg(F.coalesce(F.sum("_height"), F.lit(0.0)).alias("_sum"))
     return total.select(*key, F.when(F.col("_sum") == 0, 1.0).otherwise(F.col("_sum")).alias("peak_height"))
+
+
+def labelled_by_file(psms: DataFrame, file: str, protein: str, peptide: str, level: str, threshold: float) -> DataFrame:
+    """A row for each file: matches, proteins and distinct peptides in it, and of each those above the threshold of label; a protein
+    is labelled if the median of its matches is. Null levels count as no label.
+    """
+    above = F.coalesce(F.col(level) > threshold, F.lit(False))
+    of_protein = psms.groupBy(file, protein).agg(F.count("*").alias("n"), F.count(F.when(above, 1)).alias("labelled"), F.median(level).alias("median"))
+    proteins = of_protein.groupBy(file).agg(F.sum("n").alias("psms"), F.sum("labelled").alias("labelled_psms"), F.count("*").alias("proteins"), F.count(F.when(F.col("median") > threshold, 1)).alias("labelled_proteins"))
+    peptides = psms.groupBy(file, peptide).agg(F.max(above.cast("int")).alias("above")).groupBy(file).agg(F.count("*").alias("peptides"), F.sum("above").alias("labelled_peptides"))
+    return proteins.join(peptides, file)
+
+
+def matches_of_groups(psms: DataFrame, members: DataFrame, protein: str, group: str, match: list[str]) -> DataFrame:
+    """Distinct matches of protein groups: a match that several proteins of a group share comes once. members: protein, group."""
+    return psms.join(members.select(protein, group).distinct(), protein).select(group, *match).distinct()

@@ -153,10 +153,15 @@ def best_with_merged_ties(df: DataFrame, by: Sequence[str], order: Sequence[Colu
     return tied.groupBy(*by).agg(*(F.min_by(c, item).alias(c) for c in rest), F.array_sort(F.collect_set(item)).alias(name))
 
 
-def localisation(df: DataFrame, by: Sequence[str], scores: Sequence[str], original: str, identified: str, ptms: str, ties: Sequence[Column]) -> DataFrame:
+#: Masses that differ by less are equal.
+SAME_MASS = 0.00005
+
+
+def localisation(df: DataFrame, by: Sequence[str], scores: Sequence[str], original: str, identified: str, ptms: str, ties: Sequence[Column], mass: str | None = None) -> DataFrame:
     """For each score's first candidate of a scan: delta_p, how far its first isomer falls behind.
 
-    An isomer has the same original peptide and number of modifications at other places. Its
+    An isomer has the same original peptide and number of modifications at other places; where a column of
+    calculated masses is given, an equal mass and as long a text instead of the number. Its
     distance is the mean over all scores, relative to the scan's best of each (0 where that
     is 0). A modified peptide without an isomer has 1, an unmodified one null.
     """
@@ -165,8 +170,11 @@ def localisation(df: DataFrame, by: Sequence[str], scores: Sequence[str], origin
     parts = []
     for s in scores:
         ordered = w.orderBy(F.desc(s), *ties)
-        ranked = df.select("*", F.row_number().over(ordered).alias("_r"), F.first(F.struct(original, identified, ptms, *scores)).over(ordered).alias("_top"))
-        isomer = (F.col(original) == F.col(f"_top.{original}")) & (F.col(ptms) == F.col(f"_top.{ptms}")) & (F.col(identified) != F.col(f"_top.{identified}"))
+        ranked = df.select("*", F.row_number().over(ordered).alias("_r"), F.first(F.struct(original, identified, ptms, *scores, *([mass] if mass else []))).over(ordered).alias("_top"))
+        same = F.col(ptms) == F.col(f"_top.{ptms}")
+        if mass:
+            same = (F.abs(F.col(mass) - F.col(f"_top.{mass}")) < SAME_MASS) & (F.length(F.col(identified).cast("string")) == F.length(F.col(f"_top.{identified}").cast("string")))
+        isomer = (F.col(original) == F.col(f"_top.{original}")) & same & (F.col(identified) != F.col(f"_top.{identified}"))
         behind = sum((F.when(F.col(f"_max_{x}") != 0, (F.col(f"_top.{x}") - F.col(x)) / F.col(f"_max_{x}")).otherwise(0.0) for x in scores), F.lit(0.0)) / len(scores)
         found = ranked.groupBy(*by).agg(F.first("_top").alias("_top"), F.min_by(behind, F.when(isomer, F.col("_r"))).alias("_behind"))
         delta = F.when(F.col(f"_top.{ptms}") > 0, F.coalesce("_behind", F.lit(1.0)))
@@ -204,3 +212,10 @@ def report_statistics(psms: DataFrame, label: Column, peptide: list[str]) -> Dat
         n[1].alias("forward_psms"), n[2].alias("train_psms"), n[3].alias("test_psms"), ratio(n[3], n[1]).alias("psm_fdr"),
         m[1].alias("forward_peptides"), m[2].alias("train_peptides"), m[3].alias("test_peptides"), ratio(m[3], m[1]).alias("peptide_fdr"),
     )
+
+
+def without_decoys(df: DataFrame, names: str, prefixes: Sequence[str]) -> DataFrame:
+    """Rows whose protein names (a text) hold none of the decoys' prefixes anywhere; rows without names stay."""
+    for p in prefixes:
+        df = df.where(F.coalesce(~F.col(names).contains(p), F.lit(True)))
+    return df

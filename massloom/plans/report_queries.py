@@ -142,3 +142,43 @@ def search_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     spectra = bucketed.bucketed(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scan"), "o_totalprice"), ["scan"])
     merged = bucketed.merge_searches(matches, ["scan"], "pep", "search", "mvh", 3)
     return bucketed.with_scan(merged, spectra, ["scan"]).select("scan", "o_totalprice", "pep", "mvh", F.array_join("searches", ",").alias("searches"), "rank")
+
+
+#: Calculated masses of the matches that stand for candidates: equal for every third peptide of an original one.
+_MASS_SQL = "1000 + pep % 3 * 0.5"
+
+
+def _isomer_sql(score: str) -> str:
+    return _localisation_sql(score).replace(_CANDIDATES, f"(SELECT *, {_MASS_SQL} AS mass FROM {_CANDIDATES})").replace("first_value(pep) OVER w AS t_pep", "first_value(pep) OVER w AS t_pep, first_value(mass) OVER w AS t_mass").replace("ptms = t_ptms AND", "abs(mass - t_mass) < 0.00005 AND length(pep::VARCHAR) = length(t_pep::VARCHAR) AND")
+
+
+@query(" UNION ALL ".join(_isomer_sql(s) for s in SCORES))
+def isomer_localisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with isomers told by their calculated mass."""
+    rows = psms(spark, sf_dir).withColumns({"original": F.col("pep") % 20, "ptms": F.col("line") % 3, "mass": F.expr(_MASS_SQL).cast("double")})
+    found = ranking.localisation(rows, ["protein"], SCORES, "original", "pep", "ptms", [*ties(), F.col("scan")], mass="mass")
+    return found.select("protein", "score", "pep", F.round("delta_p", 6).alias("delta_p"))
+
+
+_NAMED = f"(SELECT *, CASE WHEN protein % 10 = 0 THEN 'Rev_' || protein WHEN protein % 10 = 1 THEN 'P1,Rev2_' || protein ELSE 'P' || protein END AS names FROM {PSM})"
+
+
+@query(f"""WITH m AS (SELECT * FROM {_NAMED} WHERE NOT contains(names, 'Rev_') AND NOT contains(names, 'Rev2_')),
+    p AS (SELECT file, protein, count(*) AS n, count(*) FILTER (pct > 0.04) AS l, median(pct) AS mid FROM m GROUP BY ALL), q AS (SELECT file, pep, max(pct > 0.04) AS l FROM m GROUP BY ALL)
+    SELECT file, CAST(psms AS BIGINT) AS psms, CAST(labelled_psms AS BIGINT) AS labelled_psms, proteins, labelled_proteins, peptides, labelled_peptides FROM (SELECT file, sum(n) AS psms, sum(l) AS labelled_psms, count(*) AS proteins, count(*) FILTER (mid > 0.04) AS labelled_proteins FROM p GROUP BY file)
+    JOIN (SELECT file, count(*) AS peptides, count(*) FILTER (l) AS labelled_peptides FROM q GROUP BY file) USING (file)""")
+def label_file_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled proteins, peptides and matches of each file, without decoys."""
+    protein = F.col("protein").cast("string")
+    names = F.when(F.col("protein") % 10 == 0, F.concat(F.lit("Rev_"), protein)).when(F.col("protein") % 10 == 1, F.concat(F.lit("P1,Rev2_"), protein)).otherwise(F.concat(F.lit("P"), protein))
+    rows = ranking.without_decoys(psms(spark, sf_dir).withColumn("names", names), "names", ["Rev_", "Rev2_"])
+    return quant.labelled_by_file(rows, "file", "protein", "pep", "pct", 0.04)
+
+
+@query(f"SELECT grp, count(*) AS matches, count(DISTINCT file) AS files, min(scan) AS first FROM (SELECT DISTINCT protein // 7 AS grp, file, scan, pep FROM {PSM}) GROUP BY grp")
+def group_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct matches of groups of seven proteins."""
+    rows = psms(spark, sf_dir)
+    members = rows.select("protein", F.floor(F.col("protein") / 7).alias("grp")).distinct()
+    found = quant.matches_of_groups(rows, members, "protein", "grp", ["file", "scan", "pep"])
+    return found.groupBy("grp").agg(F.count("*").alias("matches"), F.count_distinct("file").alias("files"), F.min("scan").alias("first"))
