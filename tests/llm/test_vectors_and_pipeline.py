@@ -88,4 +88,4 @@ def test_pipeline_stages(spark):
 
 
 def test_every_operator_has_a_query(spark):
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
