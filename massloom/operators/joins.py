@@ -25,7 +25,8 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: Column, hi
 
     A range is copied to each bin that it touches, a point is in one bin, so no pair comes
     twice. With salt > 1, points of a bin are dealt over that many tasks and ranges copied to
-    each: for bins that hold much of all points.
+    each: for bins that hold much of all points. Both sides are shuffled: a broadcast is chosen by the size before
+    rows are copied to bins, and so may be many times larger than it seems.
     """
     bins = F.sequence(F.floor(low / width).cast("long"), F.floor(high / width).cast("long"))
     left = points.withColumn("_bin", F.floor(F.col(point) / width).cast("long"))
@@ -35,7 +36,7 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, low: Column, hi
         left = left.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(salt)))
         right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
         keys.append("_salt")
-    return left.join(right, keys).where(F.col(point).between(F.col("_low"), F.col("_high"))).drop(*keys, "_low", "_high")
+    return left.join(right.hint("merge"), keys).where(F.col(point).between(F.col("_low"), F.col("_high"))).drop(*keys, "_low", "_high")
 
 
 def multi_window_join(scans: DataFrame, peptides: DataFrame, scan_mass: str, peptide_mass: str, offsets: Sequence[float], half_width: float) -> DataFrame:
@@ -51,7 +52,7 @@ def best_in_tolerance(queries: DataFrame, peaks: DataFrame, key: Sequence[str],
     left = queries.withColumn("_bin", F.explode(F.array(*(F.floor(F.col(query) / tolerance).cast("long") + d for d in (-1, 0, 1)))))
     right = peaks.withColumn("_bin", F.floor(F.col(peak) / tolerance).cast("long"))
     distance = F.abs(F.col(query) - F.col(peak))
-    near = left.join(right, [*key, "_bin"]).where(distance < tolerance if strict else distance <= tolerance).drop("_bin")
+    near = left.hint("merge").join(right, [*key, "_bin"]).where(distance < tolerance if strict else distance <= tolerance).drop("_bin")
     return near.withColumn("_r", F.row_number().over(Window.partitionBy(*row).orderBy(*best))).where("_r = 1").drop("_r")
 
 
@@ -98,7 +99,7 @@ def all_in_tolerance(queries: DataFrame, peaks: DataFrame, key: Sequence[str], q
     """Each query with every peak of its key that is nearer than tolerance."""
     left = queries.withColumn("_bin", F.explode(F.array(*(F.floor(F.col(query) / tolerance).cast("long") + d for d in (-1, 0, 1)))))
     right = peaks.withColumn("_bin", F.floor(F.col(peak) / tolerance).cast("long"))
-    return left.join(right, [*key, "_bin"]).where(F.abs(F.col(query) - F.col(peak)) < tolerance).drop("_bin")
+    return left.hint("merge").join(right, [*key, "_bin"]).where(F.abs(F.col(query) - F.col(peak)) < tolerance).drop("_bin")
 
 
 def at_levels(scans: DataFrame, levels: int = 100) -> DataFrame:
