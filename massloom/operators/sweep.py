@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from massloom.functions.chemistry import NEUTRON
-from massloom.operators.joins import merged_windows
+from massloom.operators.joins import merged_windows, range_join
 
 # Centre and half-width, in neutrons, of the windows searched at each percent of carbon-13 from 0 to 100.
 CARBON_CENTRES = (
@@ -76,7 +76,8 @@ def interval_join(points: DataFrame, ranges: DataFrame, point: str, low: Column,
     each bin's points are dealt over that many tasks, for hot bins.
 
     Null points and bounds, NaN, and ranges with high < low match nothing; equal rows of
-    either side give a pair each. Columns of both sides are kept and should not clash.
+    either side give a pair each. Columns of both sides are kept and should not clash. Both sides are shuffled,
+    as neither's size before rows are copied to bins tells what a broadcast would hold.
     """
     ranges = ranges.withColumn("_low", low.cast("double")).withColumn("_high", high.cast("double")).where("_low <= _high and not isnan(_low) and not isnan(_high)")
     if widths is None:
@@ -96,4 +97,17 @@ def interval_join(points: DataFrame, ranges: DataFrame, point: str, low: Column,
         left = left.withColumn("_salt", F.pmod(F.xxhash64(*points.columns), F.lit(salt)))
         right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
         keys.append("_salt")
-    return left.join(right, keys).where(F.col(point).between(F.col("_low"), F.col("_high"))).drop(*keys, "_low", "_high")
+    return left.join(right.hint("merge"), keys).where(F.col(point).between(F.col("_low"), F.col("_high"))).drop(*keys, "_low", "_high")
+
+
+def level_join(points: DataFrame, peptides: DataFrame, point: str, mass: str, windows: Sequence[tuple[int, float, float]]) -> DataFrame:
+    """Join points to peptides by the windows around their mass at each level: a row for each point, peptide and window (column level) that holds it.
+
+    The same as interval_join of points and at_each_level, but a peptide moves once, whatever the levels: it meets the points between its
+    lowest and highest window, and only a pair that is found is copied to the windows. Null and NaN points and masses match nothing.
+    """
+    least, most = min(w[1] for w in windows), max(w[2] for w in windows)
+    known = peptides.where(F.col(mass).isNotNull() & ~F.isnan(mass))
+    pairs = range_join(points.where(F.col(point).isNotNull() & ~F.isnan(F.col(point).cast("double"))), known, point, F.col(mass) + least, F.col(mass) + most, max(most - least, 1e-6))
+    each = at_each_level(pairs, windows)
+    return each.where(F.col(point).between(F.col(mass) + F.col("low"), F.col(mass) + F.col("high"))).drop("low", "high")

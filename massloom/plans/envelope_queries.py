@@ -71,8 +71,8 @@ def sweep_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All peptides at all enrichment levels with the precursors in the windows of each level."""
     precursors = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     peptides = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 20.0).alias("mass"))
-    spread = sweep.at_each_level(peptides, sweep.level_windows(tolerance=_SWEEP_TOLERANCE))
-    return sweep.interval_join(precursors, spread, "o_totalprice", F.col("mass") + F.col("low"), F.col("mass") + F.col("high")).select("level", "p_partkey", "o_orderkey", "o_totalprice")
+    found = sweep.level_join(precursors, peptides, "o_totalprice", "mass", sweep.level_windows(tolerance=_SWEEP_TOLERANCE))
+    return found.select("level", "p_partkey", "o_orderkey", "o_totalprice")
 
 
 @query()
