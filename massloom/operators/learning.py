@@ -11,7 +11,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massloom.operators.proteins import linked_features
+from massloom.operators.proteins import peptide_spectra
 
 
 def rescore(df: DataFrame, features: Sequence[str], label: str, penalty: float = 1.0) -> DataFrame:
@@ -40,6 +40,7 @@ def rescoring_features(matches: DataFrame, scan: Sequence[str], scores: Sequence
     for s in scores:
         following = F.lead(s).over(Window.partitionBy(*scan).orderBy(F.desc(s), *ties))
         out = out.withColumn(f"{s}_diff", F.col(s) - F.coalesce(following, F.col(s)))
-    graph = linked_features(matches, peptide, form, protein).select(peptide, form, "peptide_spectra", (F.col("linked_unique") + F.col("linked_shared")).alias("linked_spectra"))
+    # the same for all forms of a peptide; a match without one has no features
+    graph = peptide_spectra(matches.where(F.col(form).isNotNull()), peptide, protein)
     names = [*scores, "mass_error", *(f"{s}_diff" for s in scores), "missed", "peptide_spectra", "linked_spectra"]
-    return out.join(graph, [peptide, form]), names
+    return out.where(F.col(form).isNotNull()).join(graph, peptide), names

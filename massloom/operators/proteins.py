@@ -219,3 +219,15 @@ def linked_features(psms: DataFrame, peptide: str, form: str, protein: str) -> D
         "peptides", F.when(one, F.col("_up")).otherwise(0).alias("unique_peptides"), F.when(one, 0).otherwise(F.col("_sp")).alias("shared_peptides"), "most_other_spectra",
     )
     return forms.join(rows, peptide)
+
+
+def peptide_spectra(psms: DataFrame, peptide: str, protein: str) -> DataFrame:
+    """Of linked_features those that rescoring needs: peptide, peptide_spectra and linked_spectra, the most unique and shared spectra of one of its proteins without itself.
+
+    A protein counts all spectra of each of its peptides, as unique or as shared, so their sum needs neither told apart.
+    """
+    pairs = psms.groupBy(peptide, protein).agg(F.count("*").alias("_n"))
+    counts = pairs.groupBy(peptide).agg(F.sum("_n").alias("peptide_spectra"))
+    each = pairs.select(peptide, protein).join(counts, peptide)
+    of_protein = each.groupBy(protein).agg(F.sum("peptide_spectra").alias("_all"))
+    return each.join(of_protein, protein).groupBy(peptide, "peptide_spectra").agg((F.max("_all") - 1).alias("linked_spectra"))

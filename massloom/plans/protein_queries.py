@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.operators import digest, inference, joins, proteins, quant
+from massloom.operators.work import written
 from massloom.plans.spectrum_queries import AFTER, BEFORE, _digest_sql
 from massloom.plans.tables import EDGES, PROTEINS, PSM, TIES, Registry, edges, is_test, is_train, psms, sequences, table, ties
 
@@ -231,5 +232,8 @@ def rescore_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     from massloom.operators.learning import rescore
 
     rows, names = _featured(spark, sf_dir)
-    scored = rescore(rows.withColumn("label", F.when(is_train(), 0.0).otherwise(1.0)), names, "label")
+    kept = ["file", "scan", "line", "pep", "protein"]
+    # counted, fitted and scored: made once, as the features cost two shuffles of all matches
+    rows, _ = written(rows.select(*kept, *(n for n in names if n not in kept), F.when(is_train(), 0.0).otherwise(1.0).alias("label")), "rescore-rows")
+    scored = rescore(rows, names, "label")
     return scored.select("file", "scan", "line", "pep", "protein", F.round("probability", 6).alias("probability"))
