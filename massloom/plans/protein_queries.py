@@ -212,7 +212,7 @@ _BENCHMARK_PEPTIDES = f"(SELECT DISTINCT peptide FROM ({_digest_sql(0).replace(P
 @query(f"SELECT protein_id, peptide FROM {PROTEINS} JOIN {_BENCHMARK_PEPTIDES} ON contains(seq, peptide)")
 def peptide_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peptides of the benchmark's sequences and the documents' sequences that hold them."""
-    found = digest.digest(sequences(table(spark, sf_dir, "benchmark"), "item_id"), AFTER, BEFORE, 0, 3, 60).select("peptide").distinct()
+    found = digest.digest(sequences(table(spark, sf_dir, "benchmark"), "item_id"), AFTER, BEFORE, 0, 3, 60, places=False).select("peptide").distinct()
     return joins.peptide_search(sequences(table(spark, sf_dir, "documents"), "doc_id"), found)
 
 
