@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from massloom.llm.staging import release, stage
 
+#: Edges up to which one task joins all (some 50 MB there).
+TASK_EDGES = 500_000
+
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges from every node to the smallest of its component, for the components of the given edges alone."""
@@ -41,15 +44,23 @@ def components(edges: DataFrame, name: str) -> tuple[DataFrame, list[str]]:
     """Smallest reachable node of every node of `edges` (long columns a, b): columns node, root.
 
     Every partition's edges are first replaced by a forest of their own, without a shuffle.
-    Then large-star and small-star steps alternate, each one aggregation by node (combined
+    Once at most TASK_EDGES are left, one task makes stars of them; a round for them costs more than all their work.
+    Until then large-star and small-star steps alternate, each one aggregation by node (combined
     before the shuffle) and one join, until the edges are stars; every round is written to
     the shared folder, which cuts the lineage. Nodes without edges are absent; null ends
     and self-loops are ignored. Also returns the staged paths still in use.
     """
     spark = edges.sparkSession
     clean = edges.where(F.col("a") != F.col("b")).select("a", "b")
-    now, path = stage(clean.mapInArrow(_contract, "a long, b long").distinct(), f"{name}-edges")
-    while not _stars(now):
+    now, path = stage(clean.mapInArrow(_contract, "a long, b long"), f"{name}-edges")
+    while True:
+        if now.count() <= TASK_EDGES:
+            stars, stars_path = stage(now.coalesce(1).mapInArrow(_contract, "a long, b long"), f"{name}-stars")
+            release(spark, path)
+            now, path = stars, stars_path
+            break
+        if _stars(now):
+            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("n")).select("u", F.least("u", "n").alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b"))

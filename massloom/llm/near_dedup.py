@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from massloom.llm.components import components
+from massloom.llm.components import components, forest
 from massloom.llm.staging import BROADCAST_KEYS, release, semi_by_key, stage
 from massloom.llm.words import blocks, give_back, mix, sequence_hash, shingle_hashes, word_hashes
 
@@ -24,9 +24,11 @@ REGION, NEIGHBOURS = 12, 3
 #: Signatures planned for one range of the sorted orders, which a task sweeps at once (80 bytes each).
 RANGE_ROWS = 1 << 16
 #: Signatures of a large region in one chunk; pairs of chunks are compared by separate tasks.
-CHUNK = 1024
+CHUNK = 4096
 #: Documents and bytes of shingles in one block; the links between two blocks are confirmed together.
-BLOCK_DOCS, BLOCK_BYTES = 512, 4 << 20
+BLOCK_DOCS, BLOCK_BYTES = 1024, 4 << 20
+#: Shingles that are compared as the columns of a matrix at once.
+SLAB = 2048
 #: Candidates need this similarity by 2-bit sketches of the 128 minhashes, over five standard errors below 0.75.
 SKETCH_SIMILARITY = 0.5
 
@@ -201,94 +203,137 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(lambda batches: _similar(batches, percent), "a long, b long")
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with its partition and the sum of the last column before it there."""
+    part, total = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        cost = np.asarray(batch.column(batch.num_columns - 1))
+        before = total + np.cumsum(cost) - cost
+        total += int(cost.sum())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), part, np.int32)), pa.array(before)], [*batch.schema.names, "part", "before"])
+
+
+def cut(df: DataFrame, keys: list[str], cost: Column, most: int, name: str, label: str) -> tuple[DataFrame, str]:
+    """df in order of keys, with a number (column name) that grows by one each time the costs so far pass a multiple of most, and a staged path.
+
+    Costs are summed in each range of the order, and the ranges' sums run up, so the pieces don't depend on how many ranges there are.
+    """
+    dealt = df.withColumn("cost", cost.cast("long")).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    dealt, path = stage(dealt.mapInArrow(_running, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in dealt.schema) + ", part int, before long"), label)
+    sums = dealt.groupBy("part").agg(F.sum("cost").alias("sum"))
+    ahead = sums.select("part", F.coalesce(F.sum("sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    return dealt.join(F.broadcast(ahead), "part").withColumn(name, F.floor((F.col("ahead") + F.col("before")) / most)).drop("part", "before", "cost", "ahead"), path
+
+
 def _compare_chunks(table: pa.Table) -> pa.Table:
-    """Candidates between two chunks of a region (or within one) whose ends are in different components so far."""
-    chunk, ids, root = (table.column(c).to_numpy() for c in ("chunk", "id", "root"))
+    """Documents that may be similar to one of another component, by the two blocks (x <= y) of such a pair, between two chunks of a region (or within one).
+
+    All pairs are compared, but a document comes once for each block that it must meet, however many pairs there are.
+    """
+    chunk, ids, root, block = (table.column(c).to_numpy() for c in ("chunk", "id", "root", "block"))
     sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(ids), -1)
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     left, right = np.flatnonzero(chunk == i), np.flatnonzero(chunk == j)
-    a, b = [ids[:0]], [ids[:0]]
+    names, at = np.unique(block, return_inverse=True)
+    meets = np.zeros((len(ids), len(names)), bool)
+    right_sketch, right_root, right_at = sketch[right], root[right], at[right]
     for x in left:
-        y = right[(root[right] != root[x]) & (ids[right] > ids[x] if i == j else ids[right] != ids[x])]
-        y = y[sketch_similarity(sketch[x], sketch[y]) >= SKETCH_SIMILARITY]
-        a.append(np.minimum(ids[x], ids[y]))
-        b.append(np.maximum(ids[x], ids[y]))
-    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+        near = np.flatnonzero((sketch_similarity(sketch[x], right_sketch) >= SKETCH_SIMILARITY) & (right_root != root[x]))
+        meets[x, right_at[near]] = True
+        meets[right[near], at[x]] = True
+    doc, other = np.nonzero(meets)
+    return pa.table({"x": np.minimum(block[doc], names[other]), "y": np.maximum(block[doc], names[other]), "id": ids[doc]})
 
 
-def _cut_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of a sorted partition (id, shingles): so many documents or bytes each."""
-    block, docs, size = TaskContext.get().partitionId() << 32, 0, 0
-    for batch in batches:
-        found = []
-        for n in (len(x.as_buffer()) for x in batch.column(1)):
-            if docs and (docs == BLOCK_DOCS or size + n > BLOCK_BYTES):
-                block, docs, size = block + 1, 0, 0
-            docs, size = docs + 1, size + n
-            found.append(block)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], ["id", "shingles", "block"])
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Number of common elements of every set of x and every set of y.
+
+    Elements that many hold are multiplied as matrices, so many columns at once; those of few are counted pair by pair.
+    """
+    out = np.zeros((len(x), len(y)), np.float32)
+    row, word = zip(*((np.repeat(np.arange(len(s)), [len(v) for v in s]), np.concatenate(s)) for s in (x, y)), strict=True)
+    words = np.intersect1d(*word)
+    if not len(words):
+        return out
+    sides = []
+    for r, w in zip(row, word, strict=True):
+        at = np.minimum(np.searchsorted(words, w), len(words) - 1)
+        fit = words[at] == w
+        order = np.argsort(at[fit], kind="stable")
+        sides.append((r[fit][order], at[fit][order]))
+    held = [np.bincount(w, minlength=len(words)) for _, w in sides]
+    often = held[0] * held[1] > out.size // 256
+    columns = np.flatnonzero(often)
+    for s in range(0, len(columns), SLAB):
+        part = columns[s : s + SLAB]
+        place = np.full(len(words), -1)
+        place[part] = np.arange(len(part))
+        dense = []
+        for (r, w), n in zip(sides, out.shape, strict=True):
+            m = np.zeros((n, len(part)), np.float32)
+            k = place[w] >= 0
+            m[r[k], place[w[k]]] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    rare = ~often[sides[0][1]]
+    r, w = sides[0][0][rare], sides[0][1][rare]
+    first = np.cumsum(held[1]) - held[1]
+    n = held[1][w]
+    done = np.concatenate(([0], np.cumsum(n)))
+    a = 0
+    while a < len(r):
+        b = max(a + 1, int(np.searchsorted(done, done[a] + (1 << 20), "right")) - 1)
+        place = np.arange(done[b] - done[a]) + np.repeat(first[w[a:b]] - done[a:b] + done[a], n[a:b])
+        out += np.bincount(np.repeat(r[a:b], n[a:b]) * len(y) + sides[1][0][place], minlength=out.size).reshape(out.shape)
+        a = b
+    return out
 
 
 def confirm_block(table: pa.Table, percent: int) -> pa.Table:
-    """The similar ones among the pairs (rows with a and b) of two blocks, whose documents' sets are the other rows."""
-    pairs = table.filter(table.column("a").is_valid())
-    sets = table.filter(table.column("id").is_valid())
-    found = [np.frombuffer(x.as_buffer(), np.uint64) for c in sets.column("shingles").chunks for x in c]
-    sizes = np.array([len(x) for x in found])
-    words, at = np.unique(np.concatenate(found), return_inverse=True)
-    at = np.split(at, np.cumsum(sizes)[:-1])
-    rows: dict[int, list[int]] = {}
-    for r, i in enumerate(sets.column("id").to_pylist()):
-        rows.setdefault(i, []).append(r)
-    a, b = pairs.column("a").to_numpy(), pairs.column("b").to_numpy()
-    order = np.argsort(a, kind="stable")
-    a, b = a[order], b[order]
-    keep = np.zeros(len(a), bool)
-    has = np.zeros(len(words), np.int32)
-    for part in np.split(np.arange(len(a)), np.flatnonzero(a[1:] != a[:-1]) + 1):
-        other, where = zip(*((r, k) for k in part for r in rows[int(b[k])]), strict=True)
-        other, where = np.array(other), np.array(where)
-        mine = np.concatenate([at[r] for r in other])
-        starts = np.cumsum(sizes[other]) - sizes[other]
-        for r in rows[int(a[part[0]])]:
-            has[at[r]] = 1
-            common = np.add.reduceat(has[mine], starts)
-            has[at[r]] = 0
-            keep[where[100 * common >= percent * (sizes[other] + sizes[r] - common)]] = True
-    return pa.table({"a": a[keep], "b": b[keep]})
-
-
-def dense_links(dense: DataFrame, roots: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between components (roots: node, root) in the large regions of all trees: rows tree, key, id, sketch.
+    """Links between the documents of two blocks x and y (id, block, root, shingles) that join different components: a forest of them."""
+    ids, block, root = (table.column(c).to_numpy() for c in ("id", "block", "root"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in table.column("shingles").chunks for x in c]
+    left, right = (np.flatnonzero(block == table.column(c)[0].as_py()) for c in ("x", "y"))
+    if not len(left) or not len(right):
+        return pa.table({"a": ids[:0], "b": ids[:0]})
+    common = common_counts([sets[k] for k in left], [sets[k] for k in right])
+    sizes = np.array([len(x) for x in sets])
+    similar = 100 * common >= percent * (sizes[left][:, None] + sizes[right] - common)
+    i, j = np.nonzero(similar & (root[left][:, None] != root[right]))
+    a, b = forest(ids[left[i]], ids[right[j]])
+    return pa.table({"a": a, "b": b})
+
+
+def dense_links(dense: DataFrame, roots: DataFrame, sizes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components (roots: node, root) in the large regions of all trees: rows tree, key, id, sketch; sizes: id, n_shingles.
 
     All pairs of a region in different components are compared by sketch, and those that may
     be similar on full sets. A region is ordered by component and cut into chunks, so pairs of
-    chunks of one component cost nothing, and pairs of chunks are spread over the tasks.
+    chunks of one component cost nothing, and pairs of chunks are spread over the tasks. Documents of
+    like regions are in the same blocks. Sketches only tell which documents two blocks must
+    compare; all these are then compared at once, so that rows grow with documents and blocks, not with pairs.
     """
     spark = dense.sparkSession
     region = ["tree", "region"]
     placed, placed_path = stage(dense.join(roots, F.col("id") == F.col("node"), "left").select("tree", F.substring("key", 1, 4 * BASE_DEPTH).alias("region"), "id", "sketch", F.coalesce("root", "id").alias("root")), "near-dense")
     apart = placed.groupBy(*region).agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select(*region)
-    rank = F.row_number().over(Window.partitionBy(*region).orderBy("root", "id"))
-    live, live_path = stage(placed.join(apart, region, "left_semi").withColumn("chunk", F.floor((rank - 1) / CHUNK)), "near-live")
+    open_, open_path = stage(placed.join(apart, region, "left_semi"), "near-open")
+    home = open_.groupBy("id").agg(F.min(F.xxhash64(*region)).alias("home"))
+    block, block_path = cut(home.join(sizes, "id"), ["home", "id"], F.greatest(F.col("n_shingles") * 8, F.lit(BLOCK_BYTES // BLOCK_DOCS)), BLOCK_BYTES, "block", "near-blocks")
+    block = block.select("id", "block")
+    live, live_path = cut(open_.join(block, "id").select(*region, "id", "root", "block", "sketch"), [*region, "root", "id"], F.lit(1), CHUNK, "chunk", "near-live")
     release(spark, placed_path)
     chunks = live.groupBy(*region, "chunk").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    pairs = chunks.select(*region, F.col("chunk").alias("i"), "low").join(chunks.select(*region, F.col("chunk").alias("j"), "high"), region).where("i <= j and low <> high")
+    pairs = chunks.select(*region, F.col("chunk").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i")).join(chunks.select(*region, F.col("chunk").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j")), region)
+    pairs = pairs.where("i <= j and least(low_i, low_j) <> greatest(high_i, high_j)")
     members = pairs.select(*region, "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("chunk")).join(live, [*region, "chunk"])
-    found, found_path = stage(members.groupBy(*region, "i", "j").applyInArrow(_compare_chunks, "a long, b long").distinct(), "near-apart")
-
-    ends, ends_path = stage(found.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-ends")
-    home = live.groupBy("id").agg(F.min(F.xxhash64(*region)).alias("home"))
-    hashed, hashed_path = stage(semi_by_key(texts, ends, F.col("doc_id") == F.col("id")).mapInArrow(lambda batches: _hashed(batches, k), "id long, shingles binary"), "near-hashed")
-    ordered = hashed.join(home, "id").repartitionByRange("home", "id").sortWithinPartitions("home", "id").select("id", "shingles")
-    sets, sets_path = stage(ordered.mapInArrow(_cut_blocks, "id long, shingles binary, block long"), "near-blocks")
-    block = sets.groupBy("id").agg(F.min("block").alias("block"))
-    to = {c: block.select(F.col("id").alias(c), F.col("block").alias(f"block_{c}")) for c in ("a", "b")}
-    keyed, keyed_path = stage(found.join(to["a"], "a").join(to["b"], "b").select(F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y"), "a", "b"), "near-keyed")
-    needed = keyed.select("x", "y", F.explode(F.array("a", "b")).alias("id")).distinct().join(sets.select("id", "shingles"), "id")
-    both = keyed.unionByName(needed.select("x", "y", "id", "shingles"), allowMissingColumns=True)
-    links, _ = stage(both.groupBy("x", "y").applyInArrow(lambda table: confirm_block(table, percent), "a long, b long"), "near-third")
-    release(spark, live_path, found_path, ends_path, hashed_path, sets_path, keyed_path)
+    needed, needed_path = stage(members.groupBy(*region, "i", "j").applyInArrow(_compare_chunks, "x long, y long, id long").distinct(), "near-apart")
+    ends, ends_path = stage(needed.select("id").distinct(), "near-ends")
+    hashed = semi_by_key(texts, ends, F.col("doc_id") == F.col("id")).mapInArrow(lambda batches: _hashed(batches, k), "id long, shingles binary")
+    root = live.groupBy("id").agg(F.first("root").alias("root"))
+    sets, sets_path = stage(hashed.join(block, "id").join(root, "id"), "near-hashed")
+    links, _ = stage(needed.join(sets, "id").groupBy("x", "y").applyInArrow(lambda table: confirm_block(table, percent), "a long, b long"), "near-third")
+    release(spark, open_path, block_path, live_path, needed_path, ends_path, sets_path)
     return links
 
 
@@ -313,7 +358,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed, signed_path = stage(_signed(texts, k), "near-signed")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    nodes, nodes_path = stage(usable.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "signature")).alias("first")).select("set_a", "set_b", F.col("first.doc_id").alias("id"), F.col("first.signature").alias("signature")), "near-nodes")
+    nodes, nodes_path = stage(usable.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("first")).select("set_a", "set_b", F.col("first.doc_id").alias("id"), F.col("first.n_shingles").alias("n_shingles"), F.col("first.signature").alias("signature")), "near-nodes")
 
     rows, rows_path = stage(nodes.select("id", "signature").mapInArrow(_forest_rows, "tree int, key binary, id long, sketch binary"), "near-forest")
     ranges = max(1, -(-TREES * nodes.count() // RANGE_ROWS))
@@ -337,7 +382,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     release(spark, sets_path, pairs_path, ends_path, *used)
     known = first.unionByName(second)
     roots, used = components(known, "near-swept-all")
-    third = dense_links(dense, roots, texts, k, percent)
+    third = dense_links(dense, roots, nodes.groupBy("id").agg(F.max("n_shingles").alias("n_shingles")), texts, k, percent)
     if not third.isEmpty():
         release(spark, *used)
         roots, _ = components(known.unionByName(third), "near-all")
