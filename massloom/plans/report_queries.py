@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from massloom.operators import bucketed, digest, joins, quant, ranking, scoring, spectra
+from massloom.operators.work import written
 from massloom.plans.matches import COLUMNS, LIST, SCAN
 from massloom.plans.spectrum_queries import _IONS, _SHORT, AFTER, BEFORE, _ions
 from massloom.plans.tables import LABEL, PEAKS, PSM, TIES, Registry, peaks, proteins, psms, scans, table, ties
@@ -128,10 +129,13 @@ _GROUPS = f"(SELECT pep, '{{' || array_to_string(list_sort(list(DISTINCT protein
 
 @query(f"SELECT g.pep, g.members, max(p.mvh) AS best, CAST(count(*) AS BIGINT) AS n_psms FROM {_GROUPS} g JOIN {PSM} p ON g.pep = p.pep AND p.protein IN (SELECT CAST(x AS BIGINT) FROM unnest(string_split(trim(g.members, '{{}}'), ',')) AS u(x)) GROUP BY g.pep, g.members")
 def group_members_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = psms(spark, sf_dir)
+    # matches meet their groups' members as one row a pair, and the members' text joins last, so it is not copied to each of them
+    rows, _ = written(psms(spark, sf_dir).groupBy("pep", "protein").agg(F.max("mvh").alias("best"), F.count("*").alias("n_psms")), "group-pairs")
     groups = joins.merge_lists(rows, ["pep"], "protein", "l").select("pep", F.concat(F.lit("{"), F.array_join("l", ","), F.lit("}")).alias("members"))
-    members = joins.unbraced(groups, "members", "item").withColumn("protein", F.col("item").cast("long"))
-    return members.join(rows, ["pep", "protein"]).groupBy("pep", "members").agg(F.max("mvh").alias("best"), F.count("*").alias("n_psms"))
+    groups, _ = written(groups, "group-members")
+    members = joins.unbraced(groups, "members", "item").select("pep", F.col("item").cast("long").alias("protein"))
+    found = members.join(rows, ["pep", "protein"]).groupBy("pep").agg(F.max("best").alias("best"), F.sum("n_psms").alias("n_psms"))
+    return groups.join(found, "pep").select("pep", "members", "best", "n_psms")
 
 
 @query(f"""WITH m AS (SELECT scan, pep, max(mvh) AS mvh, array_to_string(list_sort(list(DISTINCT line % 3)), ',') AS searches FROM {PSM} GROUP BY scan, pep)
