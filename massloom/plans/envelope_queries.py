@@ -79,6 +79,8 @@ def sweep_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def peptide_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Isotope distributions of all peptides of 7 to 60 residues, without label and with half of the carbon labelled."""
     peptides = digest.digest(proteins(spark, sf_dir), AFTER, BEFORE, 0, 7, 60, places=False).select("peptide").distinct()
-    plain = isotopes.peptide_distributions(peptides).select("peptide", F.round("lowest_mass", 5).alias("lowest_mass"), F.round("average_mass", 4).alias("average_mass"), F.transform("share", lambda s: F.round(s, 6)).alias("share"))
-    labelled = isotopes.peptide_distributions(peptides, isotopes.enriched("C", 0.5)).select("peptide", F.round("most_abundant_mass", 4).alias("labelled_mass"), F.size("share").alias("labelled_peaks"))
-    return plain.join(labelled, "peptide")
+    plain, labelled = isotopes.ISOTOPES, isotopes.enriched("C", 0.5)
+    wanted = {"lowest_mass": (plain, "lowest_mass"), "average_mass": (plain, "average_mass"), "share": (plain, "share"), "labelled_mass": (labelled, "most_abundant_mass"), "labelled_peaks": (labelled, "peaks")}
+    rounded = {"lowest_mass": 5, "average_mass": 4, "labelled_mass": 4}
+    found = isotopes.peptide_columns(peptides, wanted)
+    return found.select("peptide", *(F.round(c, rounded[c]).alias(c) if c in rounded else F.transform(c, lambda s: F.round(s, 6)).alias(c) if c == "share" else c for c in wanted))
